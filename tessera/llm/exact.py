@@ -81,3 +81,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return classes(cut(digests(docs))).select(
         "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def dropped_ids(docs: DataFrame) -> DataFrame:
+    """doc_id of the rows that don't stay. (An id that also stays with another text isn't among them.)"""
+    c = cut(classes(cut(digests(docs))))
+    stays = c.where("uid = keep_uid").select("doc_id").distinct()
+    return c.where("uid <> keep_uid").select("doc_id").distinct().join(stays, "doc_id", "left_anti")
