@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -48,10 +47,10 @@ class Band:
 
 #: By language, then by script for other languages.
 BANDS: dict[str, Band] = {
-    "en": Band((1.5, 8.0), (1.5, 9.0), 0.10, 0.35),
-    "de": Band((1.3, 8.0), (1.3, 9.0), 0.10, 0.35),
-    "fr": Band((1.3, 8.0), (1.3, 9.0), 0.10, 0.35),
-    "es": Band((1.3, 8.0), (1.3, 9.0), 0.10, 0.35),
+    "en": Band((1.5, 8.0), (1.85, 9.0), 0.10, 0.35),
+    "de": Band((1.4, 8.0), (1.95, 9.0), 0.10, 0.35),
+    "fr": Band((1.3, 8.0), (1.70, 9.0), 0.10, 0.35),
+    "es": Band((1.4, 8.0), (1.80, 9.0), 0.10, 0.35),
     "latin": Band((1.2, 9.0), (1.2, 10.0), 0.20, 0.30),
     "cyrillic": Band((0.8, 8.0), (0.8, 9.0), 0.30, 0.30),
     "other": Band((0.25, 8.0), (0.25, 9.0), 0.95, 0.25),
@@ -87,7 +86,6 @@ class Reader:
         self.known: dict[bytes, bytes] = {}
         ids = [i for i in range(self.sp.get_piece_size()) if self.sp.is_byte(i)]
         self.first_byte, self.last_byte = (ids[0], ids[-1]) if ids else (-1, -2)
-        self.is_byte_range = not ids or all(b - a == 1 for a, b in pairwise(ids))
 
     def read(self, words: list[bytes]) -> np.ndarray:
         """For each word the marked number of its byte-level tokens, then its pieces."""

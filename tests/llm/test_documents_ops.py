@@ -1,0 +1,403 @@
+"""Every operator over documents against a brute-force version, on the smallest table and on awkward rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from tessera.llm import bpe, exact, jaccard, lengths, packing, pii, quality, secrets, suffixes
+from tessera.llm.common import prepare
+
+LONG = "the quick brown fox jumps over the lazy dog and runs away from " * 900
+AWKWARD = [
+    (1, None, None), (2, "", "en"), (3, "   \n\t ", "en"), (4, "one", "en"), (5, "One  TWO", None), (6, "one two", "xx"),
+    (7, LONG, "en"), (8, LONG, "en"), (8, LONG, "en"), (9, "a" * 5000, "de"), (10, "x y z " * 300, "fr"),
+    (11, "mail me at joe@example.com or 10.0.0.1, +49 170 1234567\npassword = abcdefghijkl", "en"),
+    (12, "çé ü 漢字 🙂   x", None), (None, "one two", "en"),
+]
+
+
+def table(spark, rows, extra=True):
+    df = spark.createDataFrame([(i, t, g, "s", 7) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    # extra columns with names that operators use themselves
+    return df.selectExpr("*", "1 as n", "'x' as key", "2 as length", "3 as digest") if extra else df
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    return [tuple(r) for r in docs]
+
+
+@pytest.fixture(scope="module", params=["table", "awkward", "empty"])
+def case(request, spark, rows):
+    prepare(spark)
+    own = {"table": rows, "awkward": AWKWARD, "empty": []}[request.param]
+    return table(spark, own), own
+
+
+def collect(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def words(t):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+
+
+def test_quality(case):
+    df, rows = case
+    got = collect(quality.fertility_quality(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+    want = []
+    for i, t, _ in rows:
+        w = words(t)
+        seen, dup = set(), 0
+        for line in (t or "").split("\n"):
+            if words(line):
+                dup += line in seen
+                seen.add(line)
+        c = Counter(zip(w, w[1:], w[2:], strict=False))
+        rep = {k for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for k in (j, j + 1, j + 2)}
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)))
+    assert got == sorted(want, key=repr)
+
+
+def test_quality_measures(spark, rows):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=quality.PIECES)
+    got = {r.doc_id: r for r in quality.fertility_quality(table(spark, rows[:40])).collect()}
+    for i, t, _ in rows[:40]:
+        ids = [x for w in sp.encode(words(t)) for x in w]
+        c = np.array(list(Counter(ids).values())) / len(ids)
+        assert got[i].chars_per_piece == pytest.approx(sum(map(len, words(t))) / len(ids))
+        assert got[i].entropy == pytest.approx(-(c * np.log2(c)).sum() / math.log2(len(ids)))
+        assert not (got[i].kept and got[i].base_failed)
+
+
+def test_quality_bands(spark):
+    prose = ("Wir gehen heute gemeinsam in den Wald und suchen nach den letzten Pilzen des Jahres, bevor der erste Schnee fällt. " * 1).split()
+    text = " ".join(f"{w}{i}" if i % 9 == 0 else w for i, w in enumerate(prose * 4))
+    noise = " ".join("".join(chr(0x16A0 + (i * j) % 70) for j in range(9)) for i in range(80))
+    got = {r.doc_id: r for r in quality.fertility_quality(table(spark, [(1, text, "de"), (2, noise, "en"), (3, noise, None)])).collect()}
+    assert not got[2].kept and got[2].byte_share > 0.5
+    assert got[3].kept  # the bands of other scripts allow byte fallback
+
+
+def test_bpe(case):
+    df, rows = case
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.DEFAULT_RANKS), special_tokens={})
+    want = []
+    for i, t, _ in rows:
+        ids = enc.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert collect(bpe.bpe_digests(df)) == sorted(want, key=repr)
+
+
+def test_bpe_edits():
+    import random
+
+    rng, enc = random.Random(5), bpe.encoder().bpe
+    for _ in range(60):
+        data = bytes(rng.choice(b"abcdetho nis") for _ in range(150))
+        t = bpe.PrefixTable(enc, data[:80])
+        t.append(data[80:])
+        assert t.ids() == enc.encode_piece(data)
+        a = rng.randint(0, 150)
+        z = min(150, a + rng.randint(0, 9))
+        new = bytes(rng.choice(b"abc xyz") for _ in range(rng.randint(0, 5)))
+        t.edit(a, z, new)
+        assert t.ids() == enc.encode_piece(data[:a] + new + data[z:])
+        assert enc.decode(t.ids()) == t.piece
+
+
+def test_bpe_random_white_space():
+    import random
+
+    rng, e = random.Random(1), bpe.encoder()
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=e.bpe.ranks, special_tokens={})
+    for _ in range(2000):
+        t = "".join(rng.choice("ab  e\n\tthe 's ñéß12 ,.!!-   中文字🙂'lt  ") for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == enc.encode_ordinary(t)
+
+
+def test_exact(case):
+    df, rows = case
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i))
+    got = exact.exact_dedup(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        pass
+    by = {hashlib.sha256(k.encode()).hexdigest(): (min(v)[2], len(v)) for k, v in groups.items()}
+    assert all((r.keep_id, r.group_size) == by[r.text_sha256] for r in got)
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(by.keys())
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
+@pytest.mark.parametrize("bits,rounds", [(1, 4), (4, 1), (2, 3)])
+def test_exact_other_trees(spark, rows, bits, rounds):
+    df = table(spark, rows)
+    want = collect(exact.classes(exact.cut(exact.digests(df))).select("doc_id", "keep_id", "group_size"))
+    assert collect(exact.classes(exact.cut(exact.digests(df, bits * rounds)), bits, rounds).select("doc_id", "keep_id", "group_size")) == want
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_pii(t):
+    out = [[m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]]
+    out.append([m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))])
+    out.append([m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := re.sub(r"\D", "", m[0])) <= 19 and luhn(d)])
+    out.append([m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15])
+    return out
+
+
+def test_pii(case):
+    df, rows = case
+    want = []
+    for i, t, _ in rows:
+        b = base_pii(t or "")
+        want.append((i, *map(len, b), hashlib.sha256(pii.joined(b).encode()).hexdigest()))
+    got = pii.pii_spans(df)
+    assert collect(got.drop("spans", "n_added")) == sorted(want, key=repr)
+
+
+def test_pii_random():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(4000):
+        t = "".join(rng.choice(["a", "@", ".", "1", "4", "0", "-", " ", "+", "(", "b.c", "255", "000", "4111 1111 1111 1111", "@@", "\n"]) for _ in range(rng.randint(0, 25)))
+        assert pii.identifiers(t) == base_pii(t), t
+
+
+@pytest.mark.parametrize(
+    "text,kind,source",
+    [
+        ("write to joe [at] example [dot] com now", "email", "joe [at] example [dot] com"),
+        ("write to joe at example dot com now", "email", "joe at example dot com"),
+        ("jоe@exаmple.com", "email", "jоe@exаmple.com"),
+        ("call plus four nine one seven zero one two three four five six", "phone", "plus four nine one seven zero one two three four five six"),
+        ("ip １０.0.0.1 here", "ip", "１０.0.0.1"),
+    ],
+)
+def test_pii_disguised(text, kind, source):
+    base, added = pii.find(text)
+    k = pii.KINDS.index(kind)
+    assert source in [text[s:e] for s, e in base[k] + added[k]]
+    assert source not in pii.mask(text)
+
+
+def test_pii_leaves_prose():
+    for t in ("We met at noon dot and dash", "one two three buckle my shoe", "look at example one", "cinco sextos", "a [dot] on the map"):
+        assert not any(map(len, pii.find(t)[1])), t
+
+
+def base_secrets(t):
+    out = []
+    rx = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out += [(m.start(), 0, m.end()) for m in re.finditer(rx, t, re.I | re.A) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_secrets(case):
+    df, rows = case
+    want = []
+    for i, t, _ in rows:
+        b = base_secrets(t or "")
+        want.append((i, *(sum(x[1] == k for x in b) for k in range(3)), hashlib.sha256(secrets.joined(b).encode()).hexdigest()))
+    assert collect(secrets.secret_spans(df).drop("spans", "n_added")) == sorted(want, key=repr)
+
+
+def test_secrets_unwrap():
+    import base64
+    import urllib.parse
+
+    inner = "password = hunter2hunter2"
+    once = base64.b64encode(inner.encode()).decode()
+    twice = base64.b64encode(once.encode()).decode()
+    zipped = base64.b64encode(zlib.compress((inner + " ") .encode() * 3)).decode()
+    for wrapped in (once, twice, zipped, "".join(f"%{ord(c):02x}" for c in inner), "".join(f"\\u{ord(c):04x}" for c in inner), urllib.parse.quote(twice), "".join(f"&#{ord(c)};" for c in inner)):
+        t = f"see {wrapped} there"
+        base, added = secrets.scan(t)
+        assert any(k == 0 for _, k, _ in added), wrapped
+        assert all(4 <= s < e <= 4 + len(wrapped) for s, _, e in added)
+    # a bomb and a cycle end
+    assert secrets.scan(base64.b64encode(zlib.compress(b"0" * 3_000_000)).decode()) is not None
+    assert secrets.scan("%25" * 500)[1] == []
+
+
+def test_secrets_exact_place():
+    t = "x=%70assword=abcdefabcdefz end"
+    assert [t[s:e] for s, k, e in secrets.scan(t)[1] if k == 0] == ["%70assword=abcdefabcdefz"]
+
+
+def test_histogram(case, spark):
+    df, rows = case
+    tok = Tokenizer.from_file(packing.DEFAULT_VOCABULARY)
+    n = [len(tok.encode(t or "", add_special_tokens=False).ids) for _, t, _ in rows]
+    want = [(x, n.count(x), x * n.count(x), sum(y >= x for y in n), sum(y for y in n if y >= x), sum(y <= x for y in n), sum(y for y in n if y <= x), sum(min(x, y) for y in n), sum(max(0, y - x) for y in n)) for x in set(n)]
+    h = lengths.histogram(lengths.encoded_lengths(df))
+    assert collect(h) == sorted(want, key=repr)
+    if n:
+        q = {r.share: r.length for r in lengths.quantiles(h, [0.0, 0.5, 0.9, 1.0]).collect()}
+        assert q == {s: sorted(n)[max(1, math.ceil(s * len(n))) - 1] for s in (0.0, 0.5, 0.9, 1.0)}
+        assert {r.limit: r.truncated_total for r in lengths.truncated_at(h, [0, 100, 10**6]).collect()} == {x: sum(min(x, y) for y in n) for x in (0, 100, 10**6)}
+
+
+def brute_suffixes(rows):
+    n = suffixes.LENGTH
+    data = [(t or "").encode() for _, t, _ in rows]
+    count = Counter(d[i : i + n] for d in data for i in range(len(d) - n + 1))
+    out = []
+    for (doc, _, _), d in zip(rows, data, strict=True):
+        mask = np.zeros(len(d), bool)
+        for i in range(len(d) - n + 1):
+            if count[d[i : i + n]] > 1:
+                mask[i : i + n] = True
+        spans = int((np.diff(np.r_[0, mask.view(np.int8), 0]) == 1).sum())
+        out.append((doc, len(d), int(mask.sum()), spans, hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~mask])).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_suffixes(case):
+    df, rows = case
+    assert collect(suffixes.suffix_dedup(df)) == brute_suffixes(rows)
+
+
+def test_suffixes_hot(spark, rows, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 4)
+    monkeypatch.setattr(suffixes, "BLOCK", 500)
+    own = rows[:60] + [(1000 + i, f"{i * 7919} start {rows[3][1][:260]} end {i * 104729}" * (1 + i % 2), "en") for i in range(40)]
+    assert collect(suffixes.suffix_dedup(table(spark, own))) == brute_suffixes(own)
+
+
+def brute_jaccard(rows, n, sim):
+    sets = {}
+    for i, t, _ in rows:
+        w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in words(t)]
+        sets.setdefault(i, set()).update([tuple(w)] if 0 < len(w) < n else [tuple(w[k : k + n]) for k in range(len(w) - n + 1)])
+    ids = [i for i in sets if i is not None]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= sim * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return sets, {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("n,sim", [(3, 90), (5, 80)])
+def test_jaccard(case, n, sim):
+    df, rows = case
+    sets, comp = brute_jaccard(rows, n, sim)
+    got = jaccard.jaccard_join(df, n, sim).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_shingles == len(sets[r.doc_id])
+        if r.doc_id is not None:
+            assert r.component_id == comp[r.doc_id], r
+    if any(i is None for i, _, _ in rows):
+        assert [r.component_id for r in got if r.doc_id is None] == [5]
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    """A component larger than a block: every two blocks meet."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 6)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    own = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
+        own.append((i, " ".join(w), "en"))
+    _, comp = brute_jaccard(own, 3, 90)
+    got = {r.doc_id: r for r in jaccard.jaccard_join(table(spark, own)).collect()}
+    assert {i: r.component_id for i, r in got.items()} == comp
+    sets, _ = brute_jaccard(own, 3, 90)
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) for j in sets if j != i) for i in sets}
+
+
+def check_packing(got, rows, tok):
+    ids = {}
+    by_doc = defaultdict(list)
+    for i, t, _ in rows:
+        ids.setdefault(i, []).append([*tok.encode(t or "", add_special_tokens=False).ids, 1])
+    for r in got:
+        by_doc[r.doc_id].append(r)
+    assert set(by_doc) == set(ids)
+    for i, own in by_doc.items():
+        want = sorted((k, a, len(p := x[a : a + 4096]), zlib.crc32(np.array(p, "<u4").tobytes())) for x in ids[i] for k, a in enumerate(range(0, len(x), 4096)))
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in own) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    total = sum(r.length for r in got)
+    return len(sequences), -(-total // 4096)
+
+
+def test_packing(case):
+    df, rows = case
+    tok = Tokenizer.from_file(packing.DEFAULT_VOCABULARY)
+    used, bound = check_packing(packing.pack(df).collect(), rows, tok)
+    assert used <= bound + max(1, bound // 50)
+
+
+def test_word_encoder_random():
+    import random
+
+    rng, tok, e = random.Random(6), Tokenizer.from_file(packing.DEFAULT_VOCABULARY), packing.word_encoder()
+    for _ in range(1500):
+        t = "".join(rng.choice("abE Q\n\t 's ñÉß12,.!-  中文́  Σσ'LL'é") for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_plan_is_exact():
+    import random
+
+    rng = random.Random(8)
+    for rounds in (0, 5, 60):
+        demand = Counter(rng.randint(1, 200) for _ in range(800))
+        patterns = packing.plan(dict(demand), 200, rounds)
+        got = Counter()
+        for p, n in patterns:
+            assert sum(p) <= 200
+            for x in p:
+                got[x] += n
+        assert got == demand
+        assert sum(n for _, n in patterns) <= packing.lower_bound(demand, 200) + 2
+    assert packing.plan({}, 200) == []
+
+
+def test_pricing_is_best():
+    value = np.full(31, -1.0)
+    value[[4, 7, 9]] = [5.0, 9.5, 12.1]
+    best = packing.price(value, 30)
+    assert sum(best) <= 30
+    assert sum(value[best]) == max(a * 5 + b * 9.5 + c * 12.1 for a in range(8) for b in range(5) for c in range(4) if 4 * a + 7 * b + 9 * c <= 30)
