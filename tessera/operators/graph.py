@@ -37,6 +37,12 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _jump(hook: DataFrame, moved: bool = False) -> DataFrame:
+    up = hook.select(F.col("node").alias("to"), F.col("to").alias("to2"))
+    flag = [(F.col("to2") < F.col("to")).alias("moved")] if moved else []
+    return hook.join(up, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), *flag)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b) to rows (node, comp): comp is the smallest node of the component. Nodes of one type.
 
@@ -49,12 +55,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if live.isEmpty():
             break
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
         for _ in range(rounds):
-            up = hook.select(F.col("node").alias("to"), F.col("to").alias("to2"))
-            jumped = cut(hook.join(up, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), (F.col("to2") < F.col("to")).alias("moved")))
-            hook = jumped.select("node", "to")
-            if jumped.where("moved").isEmpty():
+            # two jumps a job: pointers of up to four steps end at their roots
+            hook = cut(_jump(_jump(hook)))
+            if _jump(hook, moved=True).where("moved").isEmpty():
                 break
         maps.append(hook)
         a = hook.select(F.col("node").alias("a"), F.col("to").alias("ra"))
@@ -117,9 +122,11 @@ def settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     One grouped-map call per component; a graph of few edges (counted) goes to one call. Levels and states need
     no driver loop, however deep the graph is. Self-loops don't count; edges to unknown nodes don't, either."""
+    nodes = cut(nodes.select("id", "fails"))
     e = edges.where("consumer <> producer").distinct()
     known = nodes.select(F.col("id").alias("producer"))
     e = e.join(known, "producer", "left_semi").join(known.withColumnRenamed("producer", "consumer"), "consumer", "left_semi")
+    e = cut(e)
     kind = nodes.schema["id"].dataType.simpleString()
     if is_small(e, ONE_TASK_EDGES):
         on_edge = e.select(F.col("consumer").alias("id")).union(e.select("producer")).distinct()

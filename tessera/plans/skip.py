@@ -81,8 +81,9 @@ def snapshot(task_io: DataFrame, state: DataFrame) -> DataFrame:
 
 def outcomes(task: DataFrame, edges: DataFrame, decisions: DataFrame, fails: DataFrame) -> DataFrame:
     """task_id, type (executed, skipped, failed), reason, level. fails: task_id of tasks whose body would fail if it ran."""
-    from ..operators.graph import settle
+    from ..operators.graph import cut, settle
 
+    decisions = cut(decisions)  # read three times below
     runs = decisions.where("reason is not null").select("task_id")
     bad = fails.join(runs, "task_id", "left_semi").select("task_id", F.lit(True).alias("bad"))
     nodes = task.select("task_id").join(bad, "task_id", "left").select(F.col("task_id").alias("id"), F.coalesce("bad", F.lit(False)).alias("fails"))
