@@ -9,14 +9,15 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpoints, components, cut
+from ..operators.graph import is_small as _is_small
+
 #: Largest id list, in rows, that is sent to every executor; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Rows of one Arrow batch: bounds a Python worker's memory when texts are very long.
@@ -32,20 +33,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Session settings that bound a Python worker's memory, and a checkpoint folder where none is set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
-        sc.setCheckpointDir(folder)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder, so that later reads don't recompute them."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    checkpoints(spark)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -53,7 +41,8 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+    """mapInArrow for a function of one batch; batches are kept small."""
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +58,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    return _is_small(df, rows)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -87,41 +76,4 @@ def only_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(ids, docs[key] == ids["_keep"], "left_semi")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components: edges (a, b) of longs to rows (node, comp), comp the smallest node reachable.
-
-    Each round hooks every node to its smallest neighbour, follows the pointers down to the roots by
-    doubling, and replaces the ends of every edge by their roots, so a hub's edges collapse by a map-side
-    distinct instead of gathering in one task. Both loops are bounded; lineage is cut in each."""
-    spark = edges.sparkSession
-    live = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    maps: list[DataFrame] = []
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
-        # every node hooks to its smallest neighbour if that is smaller: stars of depth > 1 shrink next round
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
-        hook = cut(hook)
-        for _ in range(rounds):
-            h2 = hook.select(F.col("node").alias("to"), F.col("to").alias("to2"))
-            jumped = cut(hook.join(h2, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), (F.col("to2") < F.col("to")).alias("moved")))
-            hook = jumped.select("node", "to")
-            if jumped.where("moved").isEmpty():
-                break
-        maps.append(hook)
-        ha = hook.select(F.col("node").alias("a"), F.col("to").alias("la"))
-        hb = hook.select(F.col("node").alias("b"), F.col("to").alias("lb"))
-        live = cut(
-            live.join(ha, "a").join(hb, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-        )
-    else:
-        raise RuntimeError("components: no fixpoint within the bound on rounds")
-    if not maps:
-        return spark.createDataFrame([], "node long, comp long")
-    out = maps[-1]
-    for m in reversed(maps[:-1]):
-        up = out.select(F.col("node").alias("to"), F.col("to").alias("top"))
-        out = m.join(up, "to", "left").select("node", F.coalesce("top", "to").alias("to"))
-    return cut(out.select("node", F.col("to").alias("comp")))
-
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "CACHE_ENTRIES", "components", "cut", "documents", "is_small", "map_arrow", "only_ids", "prepare", "text_or_empty", "without_ids"]
