@@ -5,8 +5,8 @@ A document's set holds its distinct word n-grams as 64-bit numbers. Two document
 
 1. Documents with the same set are one class, found by an aggregate over a 128-bit digest of the set.
 2. Candidates. Sizes fall into classes such that linked sets are in the same or adjacent classes. In the scheme of a size class the
-   number line is cut into one range more than two linked sets can differ by, so linked sets agree in all of one range
-   at least. A document sends a digest of each of its ranges; equal digests make an edge to the first document of
+   number line is cut into more ranges than linked sets can differ in elements, so they agree in all of some range that isn't
+   empty. A document sends a digest of each of its ranges; equal digests make an edge to the first document of
    the group. Equal digests within one task are joined before the shuffle, so a large group of
    near copies sends one row per task.
 3. The components of these edges are dealt out in blocks of bounded size (every two blocks of a component meet in one
@@ -23,7 +23,9 @@ gets the component of an equal set with one, else none.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -97,23 +99,37 @@ class Schemes:
             self.first.append(self.first[-1] * 100 // self.t + 1)
         return int(np.searchsorted(self.first, size, side="right")) - 1
 
-    def ranges(self, k: int) -> int:
+    @lru_cache(1000)  # noqa: B019  (one object per task)
+    def ranges(self, k: int) -> tuple[int, int]:
+        """Ranges of a scheme, and how many empty ones they allow for: linked sets agree in more ranges than that."""
         largest = self.first[k] * 100 // self.t
-        return 2 * largest * (100 - self.t) // (100 + self.t) + 1
+        differ = 2 * largest * (100 - self.t) // (100 + self.t)
+        # four standard deviations more than the smallest set that uses the scheme is expected to have
+        smallest, spare = self.first[max(0, k - 1)], 0
+        while spare < (mean := (differ + 1 + spare) * math.exp(-smallest / (differ + 1 + spare))) + 4 * math.sqrt(mean) + 1:
+            spare += 1
+        return differ + 1 + spare, spare
 
     def digests(self, s: np.ndarray) -> np.ndarray:
-        """Of every range of s, in the schemes of its own class and of the next."""
+        """Of the ranges of s, in the schemes of its own class and of the next.
+
+        Empty ranges are left out, as all sets of a class would agree in them: linked sets have `spare` more ranges
+        in common than one. Only a set with more empty ranges than that sends them, too; of two linked sets without a
+        common range that isn't empty both are such."""
         k = self.of(len(s))
         self.of(self.first[k] * 100 // self.t + 1)
         value = mix(s)
         out = []
         for c in (k, k + 1):
-            m = self.ranges(c)
-            at = ((s >> _S32) * np.uint64(m)) >> _S32
-            sums = np.zeros(m, np.uint64)
+            m, spare = self.ranges(c)
+            at = (((s >> _S32) * np.uint64(m)) >> _S32).astype(np.int64)
             cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            sums[at[cuts].astype(np.int64)] = np.add.reduceat(value, cuts)
-            out.append(mix(sums * _A + np.arange(m, dtype=np.uint64) * _B + np.uint64(c + 1) * _C))
+            sums, used = np.add.reduceat(value, cuts), at[cuts]
+            if m - len(used) > spare:
+                every = np.zeros(m, np.uint64)
+                every[used] = sums
+                sums, used = every, np.arange(m)
+            out.append(mix(sums * _A + used.astype(np.uint64) * _B + np.uint64(c + 1) * _C))
         return np.concatenate(out)
 
 

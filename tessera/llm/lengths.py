@@ -24,7 +24,7 @@ def encoded_lengths(docs: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFram
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = word_encoder(path)
-        return pa.RecordBatch.from_arrays([pa.array([len(enc.encode(t or "")) // 4 for t in batch.column("text").to_pylist()], pa.int64())], ["length"])
+        return pa.RecordBatch.from_arrays([pa.array([len(ids) // 4 for ids in enc.encode_all([t or "" for t in batch.column("text").to_pylist()])], pa.int64())], ["length"])
 
     return map_arrow(docs.select("text"), run, "length long")
 

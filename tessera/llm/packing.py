@@ -22,7 +22,9 @@ import heapq
 import os
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +39,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Rounds of the multiplicative weights; each adds one pattern.
 ROUNDS = 400
+#: Characters whose words are held at once.
+GROUP_CHARS = 250_000
 #: Pieces numbered by one task.
 NUMBERED = 200_000
 
@@ -50,28 +54,80 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.known: dict[str, bytes] = {"": b""}
 
+    #: Lower-casing ASCII first changes nothing, as the tokenizer lower-cases; a line end is white space like a space.
+    FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", b"abcdefghijklmnopqrstuvwxyz ")
+    #: Between a letter and these marks the tokenizer always cuts.
+    MARKS = ",.;:!?"
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of texts that aren't known yet."""
+        known, new = self.known, {}
+        stems = {}
+        todo = set()
+        for p in parts:
+            stem = p.rstrip(self.MARKS)
+            if stem != p and stem and stem[-1].isalpha():
+                stems[p] = stem
+                todo.update(x for x in (stem, p[len(stem) :]) if x not in known)
+            else:
+                todo.add(p)
+        rest = []
+        for p in todo:
+            if p.isascii() and p.isalpha() and len(p) < 64:  # one word as it stands
+                new[p] = np.array([t.id for t in self.model.tokenize(p)], "<u4").tobytes()
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.batch(rest, add_special_tokens=False), strict=True):
+            new[p] = np.array(e.ids, "<u4").tobytes()
+        get = lambda x: new[x] if x in new else known[x]
+        new.update([(p, get(stem) + get(p[len(stem) :])) for p, stem in stems.items()])
+        return new
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        parts = text.replace("\n", " ").split(" ")
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text. What is new in a group of texts is learnt at once; groups are bounded by their characters."""
+        group: list[list[str] | bytes] = []
+        chars = 0
+        get = self.known.__getitem__
+        for i, text in enumerate(texts):
+            parts = text.encode("utf-8", "replace").translate(self.FOLD).decode().split(" ")
+            try:
+                group.append(b"".join(map(get, parts)))
+            except KeyError:
+                group.append(parts)
+                chars += len(text)
+            if chars >= GROUP_CHARS or i == len(texts) - 1:
+                yield from self._encode_group(group)
+                group, chars = [], 0
+
+    def _encode_group(self, group: list[list[str] | bytes]) -> Iterator[bytes]:
+        """Encodes what isn't bytes yet."""
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        missing = list({p for p in parts if p not in known})
-        if len(known) + len(missing) > CACHE_ENTRIES:
+        waiting = [parts for parts in group if not isinstance(parts, bytes)]
+        missing: set[str] = set()
+        for parts in waiting:
+            missing.update(filterfalse(known.__contains__, parts))
+        if len(known) + 2 * len(missing) > CACHE_ENTRIES:
             known.clear()
             known[""] = b""
-            missing = list(set(parts) - {""})
-        new = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(missing, self.batch(missing, add_special_tokens=False), strict=True)}
-        if all(len(p) < 64 for p in missing):
-            known.update(new)
-            return b"".join(map(known.__getitem__, parts))
+            missing = set().union(*waiting) - {""}
+        new = self._learn(missing) if missing else {}
+        long_ones = {p: ids for p, ids in new.items() if len(p) >= 64}
         known.update((p, ids) for p, ids in new.items() if len(p) < 64)
-        return b"".join(new[p] if p in new else known[p] for p in parts)
+        for parts in group:
+            if isinstance(parts, bytes):
+                yield parts
+            elif long_ones and any(len(p) >= 64 for p in parts):
+                yield b"".join(long_ones[p] if len(p) >= 64 else known[p] for p in parts)
+            else:
+                yield b"".join(map(known.__getitem__, parts))
 
 
 @lru_cache(2)
@@ -86,8 +142,9 @@ def pieces(docs: DataFrame, path: str = DEFAULT_VOCABULARY, capacity: int = CAPA
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = word_encoder(path)
         rows: list[list] = [[], [], [], [], []]
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = enc.encode(text or "") + end
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_all(texts), strict=True):
+            ids += end
             for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[a : a + 4 * capacity]
                 for col, v in zip(rows, (doc, k, a // 4, len(part) // 4, zlib.crc32(part)), strict=True):

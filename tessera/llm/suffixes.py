@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, is_small, map_arrow, prepare, text_or_empty, without_ids
+from .common import cut, is_small, map_arrow, only_ids, prepare, text_or_empty, without_ids
 
 LENGTH = 200
 GRAM = 32
@@ -387,10 +387,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     ids = spans.select("key")
     partly = left.join(F.broadcast(ids) if is_small(ids) else ids.hint("shuffle_hash"), "key", "left_semi").select("doc_id", "key").withColumnRenamed("doc_id", "_id")
 
-    # only the texts that lose a part are moved to their spans
-    wanted = partly.join(spans, "key").select("_id", "key", "spans")
-    small = is_small(wanted.select("_id"), 20_000)
-    texts = docs.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "key", "spans")
+    # only the texts that lose a part are moved to their spans, at any size
+    wanted = cut(partly.join(spans, "key").select("_id", "key", "spans"))
+    texts = only_ids(docs, wanted.select(F.col("_id").alias("doc_id")).distinct()).join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "key", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
