@@ -104,10 +104,15 @@ class Schemes:
         """Ranges of a scheme, and how many empty ones they allow for: linked sets agree in more ranges than that."""
         largest = self.first[k] * 100 // self.t
         differ = 2 * largest * (100 - self.t) // (100 + self.t)
-        # four standard deviations more than the smallest set that uses the scheme is expected to have
-        smallest, spare = self.first[max(0, k - 1)], 0
-        while spare < (mean := (differ + 1 + spare) * math.exp(-smallest / (differ + 1 + spare))) + 4 * math.sqrt(mean) + 1:
-            spare += 1
+        # Four standard deviations more than the smallest set that uses the scheme is expected to have. Some tiny sets never
+        # get there, so the search ends at a few ranges an element; any number of spare ranges gives the same links.
+        smallest = self.first[max(0, k - 1)]
+        for spare in range(4 * largest + 1):
+            m = differ + 1 + spare
+            empty = math.exp(-smallest / m)
+            spread = math.sqrt(max(0.0, m * empty * (1 - (1 + smallest / m) * empty)))
+            if spare >= m * empty + 4 * spread:
+                break
         return differ + 1 + spare, spare
 
     def digests(self, s: np.ndarray) -> np.ndarray:
