@@ -4,7 +4,8 @@ The base kinds are found in the text as it stands. A transducer then rewrites th
 to their ASCII look-alikes, full-width forms to ASCII, spelled digits ("zero seven nine") to digits, and
 disguised separators ("name [at] host (dot) org", "name at host dot org") to '@' and '.'. It keeps for every
 character it writes the stretch of the source it stands for. Identifiers detected in the rewritten text are mapped back
-to source stretches. A mapped span is added if it holds a rewritten place and overlaps no span of its kind.
+to source stretches. A mapped span is added unless one base span of its kind covers it whole; base spans that are only a
+fragment of it stay beside it, and masking takes the union.
 
 All scans are linear: an e-mail is looked for around each '@', digits in maximal runs.
 
@@ -161,11 +162,11 @@ def find(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, i
     base = identifiers(text)
     added: list[list[tuple[int, int]]] = [[], [], [], []]
     if got := normalise(text):
-        flat, at, to, new = got
+        flat, at, to, _ = got
         for k, spans in enumerate(identifiers(flat)):
             for s, e in spans:
                 a, b = at[s], to[e - 1]
-                if any(new[s:e]) and not any(x < b and a < y for x, y in base[k]):
+                if not any(x <= a and b <= y for x, y in base[k]):
                     added[k].append((a, b))
     return base, added
 

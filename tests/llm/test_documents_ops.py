@@ -202,6 +202,17 @@ def test_pii_leaves_prose():
         assert not any(map(len, pii.find(t)[1])), t
 
 
+def test_pii_base_finds_only_a_fragment():
+    for t in ("jоe@example.com", "john@host.cоm", "jоhn.doe@mail.host.org"):
+        base, added = pii.find(t)
+        assert base[0] and added[0] == [(0, len(t))], t
+        assert pii.mask(f"to {t} now") == "to <email> now"
+    t = "+49 170 123４567"
+    assert pii.find(t)[1][3] == [(0, len(t))] and pii.mask(t) == "<phone>"
+    # what base finds whole isn't added again
+    assert pii.find("jоe: joe@example.com")[1] == [[], [], [], []]
+
+
 def base_secrets(t):
     out = []
     rx = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
