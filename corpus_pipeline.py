@@ -7,9 +7,10 @@ reads it again as the next stage's docs. All but the last stage return the colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import prepare, without_ids
-from tessera.llm.exact import dropped_ids
+from tessera.llm.exact import dropped_rows
 from tessera.llm.jaccard import near_copies
 from tessera.llm.packing import pack
 from tessera.llm.pii import mask_pii
@@ -17,6 +18,11 @@ from tessera.llm.quality import filter_quality
 from tessera.llm.suffixes import stored
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row in _row. Stored, so that every read sees the same numbers."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: rejected documents go."""
     prepare(spark)
@@ -24,15 +30,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of texts that are equal but for white space, the longest stays."""
+    """Operator 3: of texts that are equal but for white space, the longest stays. Dropped are rows, not ids: ids may repeat or be null."""
     prepare(spark)
-    return without_ids(docs, dropped_ids(docs))
+    rows = numbered(docs)
+    return without_ids(rows, dropped_rows(rows, "_row"), "_row").drop("_row")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8 on five-word shingles, similarity 0.8: one document of each group stays, the one of the smallest id."""
+    """Operator 8 on five-word shingles, similarity 0.8: one document of each group stays, the one of the smallest id; of rows that tie, one."""
     prepare(spark)
-    return without_ids(docs, near_copies(docs, 5, 80))
+    rows = numbered(docs)
+    return without_ids(rows, near_copies(rows, "_row", 5, 80), "_row").drop("_row")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,11 +29,12 @@ WHITE = " \t\n\x0b\x0c\r"
 KEY = ["digest", "norm_len", "check"]
 
 
-def digests(docs: DataFrame, bits: int = RADIX_BITS * ROUNDS) -> DataFrame:
-    """uid, doc_id, run, digest (binary), norm_len, check, best: struct that is smallest for the row to keep."""
+def digests(docs: DataFrame, bits: int = RADIX_BITS * ROUNDS, row: str | None = None) -> DataFrame:
+    """uid, doc_id, run, digest (binary), norm_len, check, best: struct that is smallest for the row to keep.
+    row: column with a unique number of each row, if there is one."""
     norm = F.translate(text_or_empty(), WHITE, "")
     # translate() drops the characters that have no counterpart
-    uid = F.monotonically_increasing_id()
+    uid = F.col(row) if row else F.monotonically_increasing_id()
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text_or_empty()).alias("n"), norm.alias("norm"), uid.alias("uid"))
     return df.select(
         "uid",
@@ -83,8 +84,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
-def dropped_ids(docs: DataFrame) -> DataFrame:
-    """doc_id of the rows that don't stay. (An id that also stays with another text isn't among them.)"""
-    c = cut(classes(cut(digests(docs))))
-    stays = c.where("uid = keep_uid").select("doc_id").distinct()
-    return c.where("uid <> keep_uid").select("doc_id").distinct().join(stays, "doc_id", "left_anti")
+def dropped_rows(docs: DataFrame, row: str) -> DataFrame:
+    """The numbers (column row: unique, not null, the same on every read) of the rows that don't stay."""
+    return cut(classes(cut(digests(docs, row=row)))).where("uid <> keep_uid").select(F.col("uid").alias(row))

@@ -390,6 +390,13 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: int = 90) -> DataFrame
     return rows.join(known, "digest", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def near_copies(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
-    """Ids of the documents that aren't the smallest of their component."""
-    return jaccard_join(docs, n, similarity).where("component_id <> doc_id").select("doc_id").distinct()
+def near_copies(docs: DataFrame, row: str, n: int = 5, similarity: int = 80) -> DataFrame:
+    """The numbers (column row: unique, not null, the same on every read) of the rows that don't stay: all but the one of
+    the smallest id in each component. Null ids sort last; rows of one id tie, and the smallest number stays. Rows are
+    joined by number, so rows that share an id, or have none, are compared like any others."""
+    near = jaccard_join(docs.select(F.col(row).alias("doc_id"), "text"), n, similarity)
+    comp = near.select(F.col("doc_id").alias("_number"), F.col("component_id").alias("_comp"))
+    own = docs.select(F.col(row).alias("_number"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"))
+    members = cut(comp.join(own, "_number"))
+    stays = members.groupBy("_comp").agg(F.count("*").alias("n"), F.min(F.struct("no_id", "id", "_number")).alias("best")).where("n > 1")
+    return members.join(stays, "_comp").where("_number <> best._number").select(F.col("_number").alias(row))

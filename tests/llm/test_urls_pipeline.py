@@ -92,3 +92,20 @@ def test_stages_keep_columns(spark, sf):
         assert stage(spark, docs, sf).columns == docs.columns, name
         stage(spark, awkward, sf).collect()
         assert stage(spark, docs.limit(0), sf).collect() == []
+
+
+def test_dedup_stages_drop_rows(spark, sf):
+    """Ids that repeat, are null, or stand for a dropped and a kept text."""
+    w = [f"w{i}" for i in range(40)]
+    a, near_a, b, c = " ".join(w), " ".join([*w[:-1], "zz"]), "another text altogether " + " ".join(w[::-1]), "short one"
+    rows = [(1, a, "en"), (1, a, "en"), (None, b, "en"), (None, b, "en"), (2, a, "en"), (2, c, "en"), (2, c + " ", "en"), (None, near_a, "en"), (1, near_a, "en")]
+    docs = table(spark, rows, extra=False).repartition(3)
+    left = corpus_pipeline.exact(spark, docs, sf)
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    assert got == sorted([(1, a), (None, b), (2, c + " "), (1, near_a)], key=repr)
+    last = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near(spark, left, sf).collect()), key=repr)
+    assert len(last) == 3 and (None, b) in last and (2, c + " ") in last and (last[0] in ((1, a), (1, near_a)))
+    # rows of one id with different texts aren't near copies, repeated rows are, and null ids stay behind others
+    docs = table(spark, [(5, a, "en"), (5, b, "en"), (5, b, "en"), (None, near_a, "en"), (None, c, "en"), (None, c, "en")], extra=False)
+    last = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, sf).collect()), key=repr)
+    assert last == sorted([(5, a), (5, b), (None, c)], key=repr)
