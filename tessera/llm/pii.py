@@ -2,8 +2,10 @@
 
 The base kinds are found in the text as it stands. A transducer then rewrites the text: homoglyphs
 to their ASCII look-alikes, full-width forms to ASCII, spelled digits ("zero seven nine") to digits, and
-disguised separators ("name [at] host (dot) org", "name at host dot org") to '@' and '.'. It keeps for every
-character it writes the stretch of the source it stands for. Identifiers detected in the rewritten text are mapped back
+disguised separators ("name [at] host (dot) org", "name at host dot org") to '@' and '.', each wherever it stands. It keeps
+for every character it writes the stretch of the source it stands for. Whether something is an identifier is decided by the
+patterns on the rewritten text; only an address that hangs on a bare word "at" or "dot" must also end in what can be a
+top-level domain, and isn't part of a web address. Identifiers detected in the rewritten text are mapped back
 to source stretches. A mapped span is added unless one base span of its kind covers it whole; base spans that are only a
 fragment of it stay beside it, and masking takes the union.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,27 +49,22 @@ DIGITS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
-#: So many spelled digits in a row are read as digits; fewer are prose.
-MIN_SPELLED = 4
+#: Words that follow "dot" or a full stop in prose, and are no top-level domains.
+PROSE = frozenset("and or but the then than that this these those there with from for which who was were are will when while where because after before dash und oder aber der die das les des una los las".split())
 
 _FULL_WIDTH = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
 _ONE_TO_ONE = HOMOGLYPHS | _FULL_WIDTH
 _GLYPH = re.compile("[" + re.escape("".join(c for c in _ONE_TO_ONE if c != "@")) + "]")
 _TABLE = str.maketrans({k: v for k, v in _ONE_TO_ONE.items() if k != v})
-_DIGIT_BYTES = frozenset(w.encode() for w in DIGITS)
-#: For quick tests on bytes: every digit to 0; the separators of spelled digits to spaces.
+#: For quick tests on bytes: every digit to 0.
 _ZEROS = bytes.maketrans(b"123456789", b"000000000")
-_SPACES = bytes.maketrans(b",-", b"  ")
-_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?:[\x20,-]{{1,2}}(?:{_WORD}))" + "{%d,}" % (MIN_SPELLED - 1) + r"(?!\w)", re.I)
-_ONE_DIGIT = re.compile(rf"(?:{_WORD})(?!\w)", re.I)
-_PLUS = re.compile(r"(?<!\w)plus\x20(?=[0-9])", re.I)
-_BRACKET_AT = re.compile(r"\x20?[\[({<]\x20?(?:at|@|arroba|chez|ät)\x20?[\])}>]\x20?", re.I)
-_BRACKET_DOT = re.compile(r"\x20?[\[({<]\x20?(?:dot|punto|punkt|point|\.)\x20?[\])}>]\x20?", re.I)
-#: "name at host dot org": both words must be there, between single words.
-_WORDS_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){0,8}?(?:\x20dot\x20)[A-Za-z0-9-]{2,63}(?![A-Za-z0-9])", re.I)
-_WORDS_DOT = re.compile(r"\x20dot\x20", re.I)
-_TRIGGER = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.|arroba|chez|ät|punto|punkt|point)\x20?[\])}>]|\x20dot\x20|(?<!\w)plus\x20[0-9]", re.I)
+_DIGIT_WORD = re.compile("(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")(?!\w)")
+_GAP = re.compile(r"[\x20,-]{1,2}")
+_PLUS = re.compile(r"plus\x20+")
+_BRACKET_AT = re.compile(r"\x20?[\[({<]\x20?(?:at|@|arroba|chez|ät)\x20?[\])}>]\x20?")
+_BRACKET_DOT = re.compile(r"\x20?[\[({<]\x20?(?:dot|punto|punkt|point|\.)\x20?[\])}>]\x20?")
+_TRIGGER = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.|arroba|chez|ät|punto|punkt|point)\x20?[\])}>]")
+_TOP_LEVEL = re.compile(r"[A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]")
 
 
 def _luhn(digits: str) -> bool:
@@ -107,54 +105,150 @@ def identifiers(text: str) -> list[list[tuple[int, int]]]:
     return [emails(text) if "@" in text else [], ips, cards, phones]
 
 
-def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]] | None:
-    """The rewritten text and, of each of its characters, the source stretch and whether it was rewritten;
-    None if nothing was rewritten."""
+class Rewritten:
+    """A rewritten text with its edits: (start, end here, start, end in the source, whether it was a bare word)."""
+
+    def __init__(self, text: str, edits: list[tuple[int, int, int, int, bool]]) -> None:
+        self.text, self.edits, self.starts = text, edits, [e[0] for e in edits]
+
+    def stretch(self, i: int) -> tuple[int, int]:
+        """The source stretch of the i-th character."""
+        k = bisect_right(self.starts, i) - 1
+        if k < 0:
+            return i, i + 1
+        _, end, a, b, _ = self.edits[k]
+        return (a, b) if i < end else (b + i - end, b + i - end + 1)
+
+    def bare(self, s: int, e: int) -> bool:
+        """Whether a bare "at" or "dot" was rewritten in s..e."""
+        k = bisect_right(self.starts, s - 1)
+        while k < len(self.edits) and self.starts[k] < e:
+            if self.edits[k][4]:
+                return True
+            k += 1
+        return False
+
+
+def _lower(text: str) -> str:
+    """In lower case, as long as the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _bare_words(low: str, word: str, char: str) -> list[tuple[int, int, str, bool]]:
+    """Edits for a separator's name between white space, where what stands on both sides can belong to it."""
+    out, i = [], low.find(f" {word} ")
+    while i >= 0:
+        a, b = i, i + len(word) + 2
+        while a and low[a - 1] == " ":
+            a -= 1
+        while b < len(low) and low[b] == " ":
+            b += 1
+        if a and b < len(low) and (low[a - 1] in LOCAL or _in_word(low[a - 1])) and (low[b] == "-" or _in_word(low[b])):
+            out.append((a, b, char, True))
+        i = low.find(f" {word} ", b - 1)
+    return out
+
+
+def _digit_words(low: str) -> list[tuple[int, int, str, bool]]:
+    out: list[tuple[int, int, str, bool]] = []
+    last = -1  # end of the digit before
+    for m in _DIGIT_WORD.finditer(low):
+        a, b = m.span()
+        if a and _in_word(low[a - 1]):
+            continue
+        if 0 < a - last <= 2 and last >= 0 and _GAP.fullmatch(low, last, a):
+            out.append((last, a, "", False))
+        else:
+            # next to numerals, what separates them becomes one space, which the patterns allow
+            k = a
+            while k and a - k < 2 and low[k - 1] in " ,-":
+                k -= 1
+            if k < a and k and "0" <= low[k - 1] <= "9" and low[k:a] not in (" ", "-"):
+                out.append((k, a, " ", False))
+        out.append((a, b, DIGITS[m[0]], False))
+        last = b
+        if (g := _GAP.match(low, b)) and "0" <= low[g.end() : g.end() + 1] <= "9" and g[0] not in (" ", "-"):
+            out.append((b, g.end(), " ", False))
+    return out
+
+
+def normalise(text: str) -> Rewritten | None:
+    """The rewritten text; None if nothing was rewritten."""
     glyphs = not text.isascii() and bool(_GLYPH.search(text))
     flat = text.translate(_TABLE) if glyphs else text  # as long as the source
-    edits: list[tuple[int, int, list[tuple[str, int, int]]]] = []
-    words = flat.encode("utf-8", "surrogatepass").lower().translate(_SPACES).split()
-    spelled = list(_SPELLED.finditer(flat)) if sum(map(_DIGIT_BYTES.__contains__, words)) >= MIN_SPELLED else []
-    for m in spelled:
-        edits.append((m.start(), m.end(), [(DIGITS[x[0].lower()], x.start(), x.end()) for x in _ONE_DIGIT.finditer(flat, m.start(), m.end())]))
-    low = flat.lower()
-    if spelled or " dot " in low or "plus " in low or (any(c in low for c in "[({<") and _TRIGGER.search(flat)):
+    low = _lower(flat)
+    edits = _digit_words(low)
+    starts = {e[0] for e in edits}
+    if "plus " in low:
+        for m in _PLUS.finditer(low):
+            a, b = m.span()
+            if not (a and _in_word(low[a - 1])) and (b in starts or "0" <= low[b : b + 1] <= "9"):
+                edits.append((a, b, "+", False))
+    if any(c in low for c in "[({<") and _TRIGGER.search(low):
         for rx, c in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
-            edits += [(m.start(), m.end(), [(c, m.start(), m.end())]) for m in rx.finditer(flat)]
-        for m in _WORDS_AT.finditer(flat):
-            edits.append((*m.span(1), [("@", *m.span(1))]))
-            edits += [(*d.span(), [(".", *d.span())]) for d in _WORDS_DOT.finditer(flat, m.end(1), m.end())]
-        starts = {e[0] for e in edits}
-        for m in re.finditer(r"(?<!\w)plus\x20", flat, re.I):
-            if m.end() in starts or flat[m.end() : m.end() + 1].isdigit():
-                edits.append((m.start(), m.end(), [("+", m.start(), m.end())]))
+            edits += [(*m.span(), c, False) for m in rx.finditer(low)]
+    edits += _bare_words(low, "at", "@") + _bare_words(low, "dot", ".")
     if not edits and not glyphs:
         return None
     edits.sort()
     out: list[str] = []
-    at: list[int] = []
-    to: list[int] = []
-    new: list[bool] = []
-    pos = 0
-
-    def copy(i: int, j: int) -> None:
-        out.append(flat[i:j])
-        at.extend(range(i, j))
-        to.extend(range(i + 1, j + 1))
-        new.extend([flat[k] != text[k] for k in range(i, j)] if glyphs else [False] * (j - i))
-
-    for a, b, chars in edits:
+    done: list[tuple[int, int, int, int, bool]] = []
+    pos = n = 0
+    for a, b, c, bare in edits:
         if a < pos:
             continue
-        copy(pos, a)
-        for c, i, j in chars:
-            out.append(c)
-            at.append(i)
-            to.append(j)
-            new.append(True)
+        out += (flat[pos:a], c)
+        n += a - pos
+        done.append((n, n + len(c), a, b, bare))
+        n += len(c)
         pos = b
-    copy(pos, len(flat))
-    return "".join(out), at, to, new
+    out.append(flat[pos:])
+    return Rewritten("".join(out), done)
+
+
+def _address_end(got: Rewritten, s: int, at: int, e: int) -> int:
+    """Where the address s..e ends; 0 if it is none."""
+    if not got.bare(s, e):
+        return e
+    text = got.text
+    while True:
+        dot = text.rfind(".", at, e)
+        if dot < 0:
+            return 0
+        label = text[dot + 1 : e]
+        if _TOP_LEVEL.fullmatch(label) and label.lower() not in PROSE:
+            break
+        e = dot
+    web = got.bare(at, at + 1) and (text[at + 1 : at + 5].lower() == "www." or text[e : e + 1] == "/")
+    return 0 if web else e
+
+
+def addresses(got: Rewritten) -> list[tuple[int, int]]:
+    """E-mails of a rewritten text. Unlike in emails(), a bare "at" may be prose beside another '@' ("write at
+    j.d@host.org", "j at host.org at noon"): of two that overlap, one whose '@' isn't bare wins, and two bare ones both count."""
+    text = got.text
+    out: list[tuple[int, int, bool]] = []
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start and text[start - 1] in LOCAL:
+            start -= 1
+        bare = got.bare(at, at + 1)
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            if out and start < out[-1][1]:
+                if out[-1][2] and not bare and _address_end(got, start, at, m.end()):
+                    out.pop()
+                elif not out[-1][2]:
+                    start = at if bare else out[-1][1]
+            if start < at and (end := _address_end(got, start, at, m.end())):
+                out.append((start, end, bare))
+        at = text.find("@", at + 1)
+    return [(s, e) for s, e, _ in out]
 
 
 def find(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
@@ -162,10 +256,9 @@ def find(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, i
     base = identifiers(text)
     added: list[list[tuple[int, int]]] = [[], [], [], []]
     if got := normalise(text):
-        flat, at, to, _ = got
-        for k, spans in enumerate(identifiers(flat)):
-            for s, e in spans:
-                a, b = at[s], to[e - 1]
+        for k, spans in enumerate(identifiers(got.text)):
+            for s, e in spans if k else addresses(got) if "@" in got.text else ():
+                a, b = got.stretch(s)[0], got.stretch(e - 1)[1]
                 if not any(x <= a and b <= y for x, y in base[k]):
                     added[k].append((a, b))
     return base, added

@@ -213,6 +213,39 @@ def test_pii_base_finds_only_a_fragment():
     assert pii.find("jоe: joe@example.com")[1] == [[], [], [], []]
 
 
+@pytest.mark.parametrize(
+    "text,kind,source",
+    [
+        ("or joe [at] example dot com.", "email", "joe [at] example dot com"),
+        ("or joe@example dot com.", "email", "joe@example dot com"),
+        ("or joe at example (dot) com.", "email", "joe at example (dot) com"),
+        ("or joe at example dot co.uk.", "email", "joe at example dot co.uk"),
+        ("or joe at example.com now", "email", "joe at example.com"),
+        ("or joe  at  example  dot  com at noon", "email", "joe  at  example  dot  com"),
+        ("or joe at example dot com dot And then", "email", "joe at example dot com"),
+        ("write me at john.doe@exаmple.com now", "email", "john.doe@exаmple.com"),
+        ("write me at john.doe [at] example [dot] com now", "email", "john.doe [at] example [dot] com"),
+        ("on 192 dot 168 dot 0 dot 1 now", "ip", "192 dot 168 dot 0 dot 1"),
+        ("on one nine two dot one six eight dot zero dot one now", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("on 10.0.0.seven now", "ip", "10.0.0.seven"),
+        ("call +49 one seven zero 1234567 now", "phone", "+49 one seven zero 1234567"),
+        ("call Plus 49, one-seven-zero, 1234567 now", "phone", "Plus 49, one-seven-zero, 1234567"),
+        ("pay 4111 1111 1111 111 one now", "card", "4111 1111 1111 111 one"),
+    ],
+)
+def test_pii_every_form(text, kind, source):
+    base, added = pii.find(text)
+    k = pii.KINDS.index(kind)
+    a = text.index(source)
+    assert (a, a + len(source)) in base[k] + added[k]
+    assert pii.mask(text) == text.replace(source, f"<{kind}>")
+
+
+def test_pii_words_in_prose():
+    for t in ("up at 10.0.0.1 now", "rose at 3.5 percent", "see us at www.example.com", "it is at example.com/page", "ſix İ one", "at dot at", " at ", "one at "):
+        assert not any(map(len, pii.find(t)[1])), t
+
+
 def base_secrets(t):
     out = []
     rx = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
