@@ -35,8 +35,6 @@ MAX_RATIO = 1100
 MAX_LAYERS_DEPTH = 4
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-#: A stretch worth percent-decoding: no white space, at least one escape.
-PERCENT_TOKEN = re.compile(r"(?<![^\s%])[^\s%]*+(?:%[0-9A-Fa-f]{2}[^\s%]*+)+")
 ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -183,14 +181,10 @@ def _base64(layer: Layer | None, text: str, a: int, b: int) -> Layer | None:
 
 def _decoded(layer: Layer | None, text: str) -> list[Layer]:
     found: list[Layer] = []
-    if "%" in text:
-        for m in PERCENT_TOKEN.finditer(text):
-            if got := _unescape(layer, text, m.start(), m.end(), PERCENT, _percent):
-                found.append(got)
-    if "\\" in text or "&#" in text:
-        # the whole layer, so that a secret may be escaped in part
-        for m in re.finditer(r"[^\n]+", text):
-            if ESCAPE.search(text, m.start(), m.end()) and (got := _unescape(layer, text, m.start(), m.end(), ESCAPE, _escape)):
+    for here, rx, value in (("%" in text, PERCENT, _percent), ("\\" in text or "&#" in text, ESCAPE, _escape)):
+        # whole lines, so that a secret may be escaped in part
+        for m in re.finditer(r"[^\n]+", text) if here else ():
+            if rx.search(text, m.start(), m.end()) and (got := _unescape(layer, text, m.start(), m.end(), rx, value)):
                 found.append(got)
     folded = []
     for m in FOLDED.finditer(text) if "\n" in text else ():

@@ -287,6 +287,13 @@ def test_secrets_exact_place():
     assert [t[s:e] for s, k, e in secrets.scan(t)[1] if k == 0] == ["%70assword=abcdefabcdefz"]
 
 
+def test_secrets_percent_in_part_of_a_line():
+    for t in ("password = abc%2Fdefghijklmno", "token: %68%75%6e%74%65%72%32%68%75%6e%74%65%72%32", "api_key%20= %22abcdefghijklm"):
+        text = f"see {t} here"
+        base, added = secrets.scan(text)
+        assert not base and [(text[s:e], k) for s, k, e in added] == [(t, 0)]
+
+
 def test_histogram(case, spark):
     df, rows = case
     tok = Tokenizer.from_file(packing.DEFAULT_VOCABULARY)
