@@ -2,10 +2,11 @@
 
 A text is scanned for the base kinds. Then every encoded stretch in it (percent escapes, Unicode and
 character escapes, base64, and zlib/gzip data inside base64) is decoded into a new layer, whose every
-character knows the stretch of the source it came from. Layers go through a worklist; a layer whose text was
-seen before in this document isn't visited again (cycle detection), so the list runs empty: each
-decoding step makes a layer shorter than the stretch it came from, except for decompression, which is held to
-MAX_RATIO and to MAX_LAYERS_DEPTH nested decompressions. Spans found in a layer are mapped back to the source and
+character knows the stretch of the source it came from. Layers go through a worklist until nothing new comes, however deep they are
+nested; a layer whose text was seen before at its place isn't visited again (cycle detection). Each decoding step makes a
+layer shorter than the stretch it came from, except for decompression. That is streamed, all members of it: a
+decompressed text is read in segments, cut where nothing that is looked for can cross, and the worklist is
+a stack of unfinished readings, so that one segment of each depth is held at a time. Spans found in a layer are mapped back to the source and
 added unless a span of the same kind already overlaps them; base spans always stay.
 
 Defined results: null text is the empty text and has no spans. Positions are code points, end exclusive.
@@ -15,10 +16,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +32,10 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX_RUN = re.compile(r"[0-9a-f]{16,}")
-#: A decompressed layer may be so many times longer than its data: zlib's own limit is about 1032.
-MAX_RATIO = 1100
-#: Nested decompressions; nothing written by people nests deeper, and it bounds MAX_RATIO ** depth.
-MAX_LAYERS_DEPTH = 4
+#: Bytes decompressed at once, and characters from which a segment is cut off.
+CHUNK, SEGMENT = 1 << 18, 1 << 20
+#: Where a segment may end: a line end that folded base64 can't cross, and a space that no assignment can.
+LINE_END = re.compile(r"(?<![A-Za-z0-9+/=])(?:[A-Za-z0-9+/]{0,39}={0,2})\r?\n|[.,!?)]\x20")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
@@ -61,11 +64,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+class Same:
+    """A list that holds one value at every place."""
+
+    def __init__(self, value: int) -> None:
+        self.value = value
+
+    def __getitem__(self, i: int) -> int:
+        return self.value
+
+
 class Layer:
     """A decoded text; at[i]..to[i] is the source stretch of its i-th character."""
 
-    def __init__(self, text: str, at: list[int], to: list[int], depth: int = 0) -> None:
-        self.text, self.at, self.to, self.depth = text, at, to, depth
+    def __init__(self, text: str, at: list[int] | Same, to: list[int] | Same) -> None:
+        self.text, self.at, self.to = text, at, to
 
 
 def _stretch(layer: Layer | None, a: int, b: int) -> tuple[int, int]:
@@ -100,7 +113,7 @@ def _unescape(layer: Layer | None, text: str, a: int, b: int, rx: re.Pattern[str
     if not did:
         return None
     plain(pos, b)
-    return Layer("".join(out), at, to, layer.depth if layer else 0)
+    return Layer("".join(out), at, to)
 
 
 def _percent(m: re.Match[str]):
@@ -129,16 +142,113 @@ def _escape(m: re.Match[str]):
     return out
 
 
-def _inflate(data: bytes) -> bytes | None:
-    for start, bits in ((b"\x1f\x8b", 31), (b"x\x01", 15), (b"x\x5e", 15), (b"x\x9c", 15), (b"x\xda", 15)):
-        if data.startswith(start):
+def _bits(data: bytes) -> int:
+    """zlib's window bits for data that starts like a gzip or zlib member; else 0."""
+    return 31 if data[:2] == b"\x1f\x8b" else 15 if data[:2] in (b"x\x01", b"x\x5e", b"x\x9c", b"x\xda") else 0
+
+
+def _inflate(chunks: Iterable[bytes], left: list[int] | None = None) -> Iterator[bytes]:
+    """What all members hold that follow one another, in chunks. Raises zlib.error if the first is broken; what follows the
+    last is ignored, and its length appended to left."""
+    d, first, rest = None, True, b""
+    for chunk in chunks:
+        rest += chunk
+        full = False
+        while rest or full:
+            if d is None:
+                after = rest if first else rest.lstrip(b"\0")  # members may be padded
+                if len(after) < 2:
+                    break
+                if not (bits := _bits(after)):
+                    if left is not None:
+                        left.append(len(rest))
+                    return
+                d, rest = zlib.decompressobj(bits), after
             try:
-                d = zlib.decompressobj(bits)
-                out = d.decompress(data, MAX_RATIO * len(data) + 64)
-                return out or None
+                out = d.decompress(rest, CHUNK)
             except zlib.error:
-                return None
-    return None
+                if first:
+                    raise
+                if left is not None:
+                    left.append(len(rest))
+                return
+            if out:
+                yield out
+            if d.eof:
+                d, first, rest, full = None, False, d.unused_data, False
+            else:
+                full, rest = len(out) == CHUNK, d.unconsumed_tail
+
+
+def _check(chunks: Iterable[bytes]) -> tuple[bytes, bytes, bool] | None:
+    """Of a stream: its first bytes, its digest, and whether it is text; None if it is empty or broken."""
+    h, head = hashlib.blake2b(digest_size=16), b""
+    dec = codecs.getincrementaldecoder("utf-8")()
+    good = total = 0
+    text = True
+    try:
+        for chunk in chunks:
+            h.update(chunk)
+            head = head or chunk[:2]
+            if len(head) < 2:
+                head = (head + chunk)[:2]
+            if text:
+                try:
+                    s = dec.decode(chunk)
+                except UnicodeDecodeError:
+                    text = False
+                    continue
+                total += len(s)
+                good += _n_printable(s)
+    except zlib.error:
+        return None
+    try:
+        dec.decode(b"", True)
+    except UnicodeDecodeError:
+        text = False
+    return (head, h.digest(), text and good >= 0.95 * total) if head else None
+
+
+def _segments(chunks: Iterable[bytes]) -> Iterator[str]:
+    """A stream of text in segments."""
+    dec = codecs.getincrementaldecoder("utf-8")()
+    parts: list[str] = []
+    size, enough = 0, SEGMENT
+    for chunk in chunks:
+        parts.append(dec.decode(chunk))
+        size += len(parts[-1])
+        if size >= enough:
+            text = "".join(parts)
+            end = 0
+            for m in LINE_END.finditer(text):
+                end = m.end()
+            if end:
+                yield text[:end]
+            parts = [text[end:]]
+            size = len(text) - end
+            # without a place to cut, look again when there is twice as much
+            enough = max(SEGMENT, 2 * size)
+    if text := "".join(parts):
+        yield text
+
+
+def _decompressed(data: bytes, s: int, e: int) -> Iterator[Layer]:
+    """Layers of compressed data, also compressed several times over; the source stretch is s..e, as there are no finer positions."""
+    chunks: Callable[[], Iterable[bytes]] = lambda: _inflate([data])
+    seen: set[bytes] = set()
+    while (got := _check(chunks())) and got[1] not in seen:
+        head, digest, text = got
+        seen.add(digest)
+        if text:
+            yield from (Layer(x, Same(s), Same(e)) for x in _segments(chunks()))
+            return
+        if not _bits(head):
+            return
+        chunks = lambda below=chunks: _inflate(below())
+
+
+def _n_printable(s: str) -> int:
+    return len(s) if s.isprintable() else sum(c.isprintable() or c in "\t\r\n" for c in s)
 
 
 def _printable(data: bytes) -> str | None:
@@ -146,26 +256,22 @@ def _printable(data: bytes) -> str | None:
         s = data.decode()
     except UnicodeDecodeError:
         return None
-    good = sum(c.isprintable() or c in "\t\r\n" for c in s)
-    return s if s and good >= 0.95 * len(s) else None
+    return s if s and _n_printable(s) >= 0.95 * len(s) else None
 
 
-def _base64(layer: Layer | None, text: str, a: int, b: int) -> Layer | None:
+def _base64(layer: Layer | None, text: str, a: int, b: int) -> Iterator[Layer]:
     raw = re.sub(r"[\r\n=]", "", text[a:b]).replace("-", "+").replace("_", "/")
     raw = raw[: len(raw) - (len(raw) % 4 == 1)]
     try:
         data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    depth = layer.depth if layer else 0
+        return
     s, e = _stretch(layer, a, b)
-    if depth < MAX_LAYERS_DEPTH and (out := _inflate(data)) is not None:
-        got = _printable(out)
-        # a compressed layer has no finer positions than its whole stretch
-        return Layer(got, [s] * len(got), [e] * len(got), depth + 1) if got else None
+    if _bits(data):
+        yield from _decompressed(data, s, e)
     got = _printable(data)
     if got is None:
-        return None
+        return
     if not re.search(r"[\r\n]", text[a:b]):
         at, to, k = [], [], 0
         for c in got:
@@ -175,44 +281,45 @@ def _base64(layer: Layer | None, text: str, a: int, b: int) -> Layer | None:
             at.append(x)
             to.append(y)
             k += n
-        return Layer(got, at, to, depth)
-    return Layer(got, [s] * len(got), [e] * len(got), depth)
+        yield Layer(got, at, to)
+    else:
+        yield Layer(got, Same(s), Same(e))
 
 
-def _decoded(layer: Layer | None, text: str) -> list[Layer]:
-    found: list[Layer] = []
+def _decoded(layer: Layer | None, text: str) -> Iterator[Layer]:
     for here, rx, value in (("%" in text, PERCENT, _percent), ("\\" in text or "&#" in text, ESCAPE, _escape)):
         # whole lines, so that a secret may be escaped in part
         for m in re.finditer(r"[^\n]+", text) if here else ():
             if rx.search(text, m.start(), m.end()) and (got := _unescape(layer, text, m.start(), m.end(), rx, value)):
-                found.append(got)
+                yield got
     folded = []
     for m in FOLDED.finditer(text) if "\n" in text else ():
         folded.append((m.start(), m.end()))
-        if got := _base64(layer, text, m.start(), m.end()):
-            found.append(got)
+        yield from _base64(layer, text, m.start(), m.end())
     for m in BASE64.finditer(text) if b"0" * 16 in text.encode("utf-8", "surrogatepass").translate(_BASE64_BYTES) else ():
-        if not any(a <= m.start() < b for a, b in folded) and (got := _base64(layer, text, m.start(), m.end())):
-            found.append(got)
-    return found
+        if not any(a <= m.start() < b for a, b in folded):
+            yield from _base64(layer, text, m.start(), m.end())
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, spans that decoding adds), each (start, kind number, end)."""
     base = base_spans(text)
-    queue = _decoded(None, text)
-    if not queue:
-        return base, []
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
+    seen: set[bytes] = set()
     extra: set[tuple[int, int, int]] = set()
-    while queue:
-        layer = queue.pop()
+    work = [_decoded(None, text)]
+    while work:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         mark = hashlib.blake2b(f"{layer.at[0]}:{layer.to[-1]}:{layer.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if mark in seen:
             continue
         seen.add(mark)
         extra.update((layer.at[s], k, layer.to[e - 1]) for s, k, e in base_spans(layer.text))
-        queue += _decoded(layer, layer.text)
+        work.append(_decoded(layer, layer.text))
+    if not extra:
+        return base, []
     taken = [sorted((s, e) for s, k, e in base if k == kind) for kind in range(3)]
     added = []
     for s, k, e in sorted(extra, key=lambda x: (x[0], x[1], -x[2])):

@@ -294,6 +294,36 @@ def test_secrets_percent_in_part_of_a_line():
         assert not base and [(text[s:e], k) for s, k, e in added] == [(t, 0)]
 
 
+def test_secrets_to_fixpoint(monkeypatch):
+    import base64
+    import gzip
+
+    inner = b"password = hunter2hunter2\n"
+    wrapped = inner
+    for depth in range(1, 13):
+        wrapped = base64.b64encode((zlib.compress if depth % 2 else gzip.compress)(wrapped))
+        assert secrets.scan(wrapped.decode())[1] == [(0, 0, len(wrapped))], depth
+    members = {
+        "later member": gzip.compress(b"some text, " * 9) + gzip.compress(inner),
+        "padded": gzip.compress(b"some text\n") + bytes(5) + gzip.compress(inner) + bytes(9),
+        "zlib": zlib.compress(b"text ") + zlib.compress(b"more ") + zlib.compress(inner),
+        "rest that isn't compressed": gzip.compress(b"text ") + gzip.compress(inner) + b"rest",
+        "a broken member behind": gzip.compress(inner) + b"\x1f\x8bxx",
+        "twice without base64": gzip.compress(zlib.compress(inner)),
+    }
+    for name, data in members.items():
+        assert [k for _, k, _ in secrets.scan(base64.b64encode(data).decode())[1]] == [0], name
+    # segments: nothing is cut apart
+    lines = "".join(f"line {i} of some prose, which goes on\n" for i in range(300))
+    folded = base64.encodebytes(b"x " * 200 + inner).decode()
+    for text, kinds in ((lines + inner.decode() + lines, {0}), (lines + folded + lines, {0}), ("A, b. " * 500 + "password = " + "z" * 300, {0}), ("f" * 5000, {2}), ("9 " * 3000 + "AKIA" + "A" * 500, {1})):
+        data = base64.b64encode(zlib.compress(text.encode())).decode()
+        for chunk in (7, 64, 1000):
+            monkeypatch.setattr(secrets, "CHUNK", chunk)
+            monkeypatch.setattr(secrets, "SEGMENT", 100)
+            assert {k for _, k, _ in secrets.scan(data)[1]} == kinds, text[:20]
+
+
 def test_histogram(case, spark):
     df, rows = case
     tok = Tokenizer.from_file(packing.DEFAULT_VOCABULARY)
