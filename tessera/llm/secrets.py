@@ -41,8 +41,8 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Base64 text may be folded into lines; then it is joined before decoding.
-FOLDED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+(?:\r?\n[A-Za-z0-9+/]{16,})+={0,2}")
+#: Base64 text may be folded into lines, the last of any length; then what decodes together is joined before decoding.
+FOLDED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+(?:\r?\n[A-Za-z0-9+/]{40,}+)*(?:\r?\n[A-Za-z0-9+/]+)?={0,2}")
 
 
 #: For quick tests: every keyword holds one of these; hex digits, and base64 characters, to 0.
@@ -151,8 +151,10 @@ def _inflate(chunks: Iterable[bytes], left: list[int] | None = None) -> Iterator
     """What all members hold that follow one another, in chunks. Raises zlib.error if the first is broken; what follows the
     last is ignored, and its length appended to left."""
     d, first, rest = None, True, b""
+    total = end = 0  # bytes so far, and where the last whole member ended
     for chunk in chunks:
         rest += chunk
+        total += len(chunk)
         full = False
         while rest or full:
             if d is None:
@@ -161,7 +163,7 @@ def _inflate(chunks: Iterable[bytes], left: list[int] | None = None) -> Iterator
                     break
                 if not (bits := _bits(after)):
                     if left is not None:
-                        left.append(len(rest))
+                        left.append(total - end)
                     return
                 d, rest = zlib.decompressobj(bits), after
             try:
@@ -170,12 +172,13 @@ def _inflate(chunks: Iterable[bytes], left: list[int] | None = None) -> Iterator
                 if first:
                     raise
                 if left is not None:
-                    left.append(len(rest))
+                    left.append(total - end)
                 return
             if out:
                 yield out
             if d.eof:
                 d, first, rest, full = None, False, d.unused_data, False
+                end = total - len(rest)
             else:
                 full, rest = len(out) == CHUNK, d.unconsumed_tail
 
@@ -286,18 +289,90 @@ def _base64(layer: Layer | None, text: str, a: int, b: int) -> Iterator[Layer]:
         yield Layer(got, Same(s), Same(e))
 
 
+def _lines_decoded(text: str, lines: list[tuple[int, int]], i: int) -> Iterator[tuple[int, bytes]]:
+    """Number of each line from i on, and what it adds to the data of the joined lines."""
+    carry = ""
+    for k in range(i, len(lines)):
+        raw = carry + text[lines[k][0] : lines[k][1]].rstrip("=")
+        cut = len(raw) // 4 * 4
+        carry = raw[cut:]
+        if k == len(lines) - 1 and len(carry) > 1:
+            raw, cut = raw + "=" * (4 - len(carry)), cut + 4
+        yield k, binascii.a2b_base64(raw[:cut])
+
+
+def _last_line(text: str, lines: list[tuple[int, int]], i: int) -> int:
+    """The last of the lines that decode to one text, or to compressed data, together with line i; i if none does."""
+    if i == len(lines) - 1:
+        return i
+    if _bits(binascii.a2b_base64(text[lines[i][0] : lines[i][0] + 4])):
+        left: list[int] = []
+        n = [0]
+
+        def chunks() -> Iterator[bytes]:
+            for _, data in _lines_decoded(text, lines, i):
+                n[0] += len(data)
+                yield data
+
+        try:
+            for _ in _inflate(chunks(), left):
+                pass
+        except zlib.error:
+            pass
+        else:
+            used, k = -(-(n[0] - sum(left)) * 4 // 3), i
+            while k + 1 < len(lines) and used > lines[k][1] - lines[k][0]:
+                used -= lines[k][1] - lines[k][0]
+                k += 1
+            return k
+    dec = codecs.getincrementaldecoder("utf-8")()
+    good = total = 0
+    best = i
+    for k, data in _lines_decoded(text, lines, i):
+        try:
+            got = dec.decode(data)
+        except UnicodeDecodeError:
+            break
+        total += len(got)
+        good += _n_printable(got)
+        if good >= 0.95 * total and not dec.getstate()[0]:
+            best = k
+        elif good < 0.5 * total:  # such as long runs of zeros in binary data
+            break
+    return best
+
+
+def _unfolded(layer: Layer | None, text: str, a: int, b: int, done: list[tuple[int, int]]) -> Iterator[Layer]:
+    """Layers of the longest runs of lines in a..b that decode together; their stretches are appended to done. A line that
+    decodes with none of its neighbours is left over."""
+    lines = [m.span() for m in re.compile(r"[^\r\n]+").finditer(text, a, b)]
+    i = 0
+    while i < len(lines):
+        j = _last_line(text, lines, i)
+        for j in range(j, max(i, j - 3), -1):  # the characters left over at the end of a line may not decode
+            found = False
+            for got in _base64(layer, text, lines[i][0], lines[j][1]):
+                found = True
+                yield got
+            if found:
+                done.append((lines[i][0], lines[j][1]))
+                i = j
+                break
+        i += 1
+
+
 def _decoded(layer: Layer | None, text: str) -> Iterator[Layer]:
     for here, rx, value in (("%" in text, PERCENT, _percent), ("\\" in text or "&#" in text, ESCAPE, _escape)):
         # whole lines, so that a secret may be escaped in part
         for m in re.finditer(r"[^\n]+", text) if here else ():
             if rx.search(text, m.start(), m.end()) and (got := _unescape(layer, text, m.start(), m.end(), rx, value)):
                 yield got
-    folded = []
+    folded: list[tuple[int, int]] = []
     for m in FOLDED.finditer(text) if "\n" in text else ():
-        folded.append((m.start(), m.end()))
-        yield from _base64(layer, text, m.start(), m.end())
+        yield from _unfolded(layer, text, m.start(), m.end(), folded)
     for m in BASE64.finditer(text) if b"0" * 16 in text.encode("utf-8", "surrogatepass").translate(_BASE64_BYTES) else ():
-        if not any(a <= m.start() < b for a, b in folded):
+        k = bisect_left(folded, (m.start() + 1,))
+        if not (k and m.start() < folded[k - 1][1]):
             yield from _base64(layer, text, m.start(), m.end())
 
 

@@ -324,6 +324,48 @@ def test_secrets_to_fixpoint(monkeypatch):
             assert {k for _, k, _ in secrets.scan(data)[1]} == kinds, text[:20]
 
 
+def _secret_stretches(text):
+    return [text[s:e] for s, k, e in secrets.scan(text)[1] if k == 0]
+
+
+def test_secrets_folded_lines():
+    import base64
+
+    def b64(x):
+        return base64.b64encode(x.encode()).decode()
+
+    def fold(x, n):
+        return "\n".join(x[i : i + n] for i in range(0, len(x), n))
+
+    sha = hashlib.sha1(b"x").hexdigest()
+    plain = b64('a line with password = "hunter2hunter2",').rstrip("=")
+    other = b64("another line, longer, of plain words only!!").rstrip("=")
+    assert len(plain) % 4 and len(plain) >= 40 and len(other) % 4
+    for text in (f"{sha}\n{plain}", f"{other}\n{plain}", f"{sha}\n{sha}\n{plain}\n{sha}\n", f"{plain}\n{other}", f"{plain}\r\n{plain}"):
+        found = "".join(_secret_stretches(text))
+        assert found and sha not in found, text
+    # a block with a remainder of any length, also behind a hash
+    for n in (40, 64, 76):
+        for tail in range(1, 60):
+            block = fold(b64("z" * (n * 3 // 4 - 11) + " password = " + "q" * tail), n)
+            want = block.split("=")[0]
+            if tail < 12:
+                continue
+            for text in (block, f"{sha}\n{block}", f"{block}\n\nprose", f"see {block} there"):
+                got = _secret_stretches(text)
+                assert len(got) == 1 and got[0].split("=")[0].endswith(want[-8:]), (n, tail, text)
+    # compressed data ends where it ends
+    rng = np.random.default_rng(3)
+    words_ = " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 30))
+    zipped = base64.b64encode(zlib.compress((words_ + " token = abcdefghijklmnop").encode())).decode().rstrip("=")
+    text = fold(zipped, 64) + "\n"
+    assert len(_secret_stretches(text)) == 1
+    raw = zlib.compress(b"x" + rng.bytes(61).hex().encode())
+    raw = raw + bytes(-len(raw) % 48)
+    text = fold(base64.b64encode(raw).decode(), 64) + "\n" + plain
+    assert _secret_stretches(text)
+
+
 def test_histogram(case, spark):
     df, rows = case
     tok = Tokenizer.from_file(packing.DEFAULT_VOCABULARY)
