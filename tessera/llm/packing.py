@@ -5,7 +5,9 @@ on the histogram of piece lengths, which has at most `capacity` entries however
 
 1. the configuration linear program (how often to use each *pattern*, a multiset of lengths that fits into one
    sequence, so that every length is covered as often as it occurs, with the fewest sequences) is solved
-   by multiplicative weights; a knapsack dynamic program prices the best pattern for the weights;
+   by multiplicative weights; a knapsack dynamic program prices the best pattern for the weights, and of the same
+   prices every length gets its own best pattern, of which those near the best are used, too. Rounds go on until the
+   demand is covered;
 2. fractions are rounded down, and what is left uncovered is packed best fit, longest first, still on the
    histogram: sequences with equal contents are one entry with a count.
 
@@ -19,6 +21,7 @@ each on their own. An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import math
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -37,8 +40,10 @@ from .common import CACHE_ENTRIES, cut, map_arrow
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
 END_ID = 1
-#: Rounds of the multiplicative weights; each adds one pattern.
-ROUNDS = 400
+#: Most rounds of the multiplicative weights; None: until the demand is covered. Each uses up one length at least.
+ROUNDS: int | None = None
+#: A pattern is used in a round if its value is so near the best.
+NEAR_BEST = 0.98
 #: Characters whose words are held at once.
 GROUP_CHARS = 250_000
 #: Pieces numbered by one task.
@@ -155,8 +160,8 @@ def pieces(docs: DataFrame, path: str = DEFAULT_VOCABULARY, capacity: int = CAPA
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(value: np.ndarray, capacity: int) -> list[int]:
-    """The pattern (lengths, longest first) of greatest value that fits: unbounded knapsack. value[l] is that of length l."""
+def _priced(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each capacity the greatest value and the length to take first (0: none, as for one less): unbounded knapsack."""
     best = np.zeros(capacity + 1)
     take = np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
@@ -167,17 +172,28 @@ def price(value: np.ndarray, capacity: int) -> list[int]:
             best[c], take[c] = of[k], k + 1
         else:
             best[c] = best[c - 1]
-    out, c = [], capacity
-    while c:
-        if take[c]:
-            out.append(int(take[c]))
-            c -= int(take[c])
-        else:
-            c -= 1
-    return sorted(out, reverse=True)
+    return best, take
+
+
+def _taken(take: list[int], last: list[int], c: int) -> list[int]:
+    """The lengths taken for capacity c; last[c]: the greatest capacity up to c at which one is taken."""
+    out = []
+    while c := last[c]:
+        out.append(take[c])
+        c -= take[c]
+    return out
+
+
+def _traceable(take: np.ndarray) -> tuple[list[int], list[int]]:
+    return take.tolist(), np.maximum.accumulate(np.where(take > 0, np.arange(len(take)), 0)).tolist()
+
+
+def price(value: np.ndarray, capacity: int) -> list[int]:
+    """The pattern (lengths, longest first) of greatest value that fits. value[l] is that of length l."""
+    return sorted(_taken(*_traceable(_priced(value, capacity)[1]), capacity), reverse=True)
 
 
-def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[list[int], float]]:
+def configuration_lp(demand: dict[int, int], capacity: int, rounds: int | None = ROUNDS) -> list[tuple[list[int], float]]:
     """Patterns and how often to use each, a fractional solution of the covering program that is nowhere above demand."""
     size = np.arange(capacity + 1, dtype=float)
     d = np.zeros(capacity + 1)
@@ -187,20 +203,30 @@ def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = ROUNDS
     weight = np.where(have, size / capacity, -1.0)
     left = d.copy()
     out: list[tuple[list[int], float]] = []
-    for _ in range(rounds):
-        pattern = price(weight, capacity)
-        if not pattern:
-            break
-        lengths, times = np.unique(pattern, return_counts=True)
-        # as much of the pattern as the scarcest of its lengths allows
-        x = float((left[lengths] / times).min())
-        out.append((pattern, x))
-        left[lengths] -= x * times
-        covered = 1 - left[lengths] / d[lengths]
-        # multiplicative update: what is covered loses weight; what is used up has none
-        weight[lengths] = np.where(left[lengths] >= 1, size[lengths] / capacity * np.exp(-0.1 * covered), -1.0)
-        if not (weight > 0).any():
-            break
+    n = 0
+    while (weight > 0).any() and (rounds is None or n < rounds):
+        n += 1
+        best, take = _priced(weight, capacity)
+        own = np.flatnonzero(weight > 0)
+        of = weight[own] + best[capacity - own]
+        order = np.argsort(-of, kind="stable")
+        near = own[order[of[order] >= NEAR_BEST * of.max()]]
+        tables = _traceable(take)
+        for length in near.tolist():
+            pattern = [length, *_taken(*tables, capacity - length)]
+            times: dict[int, int] = {}
+            for x in pattern:
+                times[x] = times.get(x, 0) + 1
+            # prices are those of the start of the round
+            if any(left[x] < 1 for x in times):
+                continue
+            # as much of the pattern as the scarcest of its lengths allows
+            use = float(min(left[x] / k for x, k in times.items()))
+            out.append((sorted(pattern, reverse=True), use))
+            for x, k in times.items():
+                left[x] -= use * k
+                # multiplicative update: what is covered loses weight; what is used up has none
+                weight[x] = size[x] / capacity * math.exp(-0.1 * (1 - left[x] / d[x])) if left[x] >= 1 else -1.0
     return out
 
 
@@ -246,7 +272,7 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[list[int], int]]
     return done
 
 
-def plan(demand: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[list[int], int]]:
+def plan(demand: dict[int, int], capacity: int = CAPACITY, rounds: int | None = ROUNDS) -> list[tuple[list[int], int]]:
     """Patterns with how many sequences use each; together they hold exactly the demand."""
     left = dict(demand)
     whole: dict[tuple[int, ...], int] = {}
@@ -296,7 +322,7 @@ def number(rows: DataFrame, salts: int) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(within) - 1).join(counts, ["length", "salt"]).withColumn("nth", F.col("before") + F.col("k")).drop("salt", "k", "before")
 
 
-def pack(docs: DataFrame, path: str = DEFAULT_VOCABULARY, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, path: str = DEFAULT_VOCABULARY, capacity: int = CAPACITY, rounds: int | None = ROUNDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = cut(pieces(docs, path, capacity).withColumn("uid", F.monotonically_increasing_id()))
     # at most `capacity` rows come to the driver, whatever the input

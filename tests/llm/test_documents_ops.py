@@ -522,6 +522,23 @@ def test_plan_is_exact():
     assert packing.plan({}, 200) == []
 
 
+def test_plan_covers_many_lengths():
+    import random
+
+    rng = random.Random(12)
+    demand = dict(Counter(min(4096, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(12_000)))
+    assert len(demand) > 1500
+    whole = sum(sum(p) * int(x + 1e-9) for p, x in packing.configuration_lp(demand, 4096))
+    assert whole > 0.7 * sum(x * n for x, n in demand.items())
+    used = Counter()
+    for p, x in packing.configuration_lp(demand, 4096, 3):
+        assert sum(p) <= 4096 and x > 0
+        for length in p:
+            used[length] += x
+    assert all(n <= demand[x] + 1e-6 for x, n in used.items())
+    assert sum(n for _, n in packing.plan(demand)) <= sum(n for _, n in packing.best_fit(demand, 4096))
+
+
 def test_pricing_is_best():
     value = np.full(31, -1.0)
     value[[4, 7, 9]] = [5.0, 9.5, 12.1]
