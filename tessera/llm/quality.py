@@ -37,7 +37,8 @@ MARK = 1 << 31
 
 @dataclass(frozen=True)
 class Band:
-    """Allowed values, ends included. entropy: bits per token over the most a text of its length could have."""
+    """Allowed values, ends included. entropy: bits per token over the most that a text of its length could have with this
+    vocabulary, so that the rule doesn't tighten without bound for long texts."""
 
     chars_per_piece: tuple[float, float]
     chars_per_byte_token: tuple[float, float]
@@ -84,6 +85,7 @@ class Reader:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.byte_level = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks), special_tokens={})
         self.known: dict[bytes, bytes] = {}
+        self.n_pieces = self.sp.get_piece_size()
         ids = [i for i in range(self.sp.get_piece_size()) if self.sp.is_byte(i)]
         self.first_byte, self.last_byte = (ids[0], ids[-1]) if ids else (-1, -2)
 
@@ -153,7 +155,7 @@ def measure(text: str, lang: str | None, r: Reader, bands: dict[str, Band]) -> t
     entropy = float(-(count * np.log2(count)).sum())
     fertility, byte_level, share = chars / max(n, 1), chars / max(n_byte_level, 1), of_bytes / max(n, 1)
     band = bands.get(lang or "") or bands[script(text)]
-    even = entropy / math.log2(n) if n > 1 else 0.0
+    even = entropy / math.log2(min(n, r.n_pieces)) if n > 1 else 0.0
     good = (
         band.chars_per_piece[0] <= fertility <= band.chars_per_piece[1]
         and band.chars_per_byte_token[0] <= byte_level <= band.chars_per_byte_token[1]

@@ -90,6 +90,18 @@ def test_quality_bands(spark):
     assert got[3].kept  # the bands of other scripts allow byte fallback
 
 
+def test_quality_long_prose():
+    """The entropy band doesn't tighten with length: prose has about seven bits a token."""
+    import random
+
+    rng, r = random.Random(3), quality.reader()
+    common = "the of and to in is was for that on with as at by from his her had not are but they this which one you were all their there been would who when will more no if out so said what up its about into than them can only other time new some could these two may then do first any my now such like our over man me even most made after also did many before must through years where much your way well down should because each just those people how too good very make world still own see men work long here get both between life being under never day same another know while last might us great old year off come since against go came right used take three".split()
+    text = " ".join(rng.choices(common[:110], k=1_300_000))
+    even = quality.measure(text, "en", r, quality.BANDS)[-1]
+    short = quality.measure(text[: len(text) // 20], "en", r, quality.BANDS)[-1]
+    assert even >= quality.BANDS["en"].entropy and abs(even - short) < 0.01, (even, short)
+
+
 def test_bpe(case):
     df, rows = case
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.DEFAULT_RANKS), special_tokens={})
