@@ -1,45 +1,58 @@
-"""Jaccard self-join of word n-gram sets with a prefix tree.
+"""Jaccard self-join of word n-gram sets with prefix trees.
 
 A document's set holds its distinct word n-grams as 64-bit numbers. Two documents link if
-100 * |intersection| >= similarity * |union|. No link between different texts is lost, and no group is expanded to all pairs:
-
-1. Documents with the same set are one class, found by an aggregate over a 128-bit digest of the set.
-2. Candidates. Sizes fall into classes such that linked sets are in the same or adjacent classes. In the scheme of a size class the
-   number line is cut into more ranges than linked sets can differ in elements, so they agree in all of some range that isn't
-   empty. A document sends a digest of each of its ranges; equal digests make an edge to the first document of
-   the group. Equal digests within one task are joined before the shuffle, so a large group of
-   near copies sends one row per task.
-3. The components of these edges are dealt out in blocks of bounded size (every two blocks of a component meet in one
-   task). A task stores one block's sets, globally ordered, in a prefix tree and sends all sets of the other
-   through it: sets share the overlap of a common path, and a subtree is left as soon as the lengths that
-   remain can't give the overlap needed. Links are exact counts.
-4. The components of the links, with the classes, give component_id.
+100 * |intersection| >= similarity * |union|. No link between different texts is lost:
+
+1. Documents with the same set are one class, named by a 128-bit digest of the set.
+2. The global order of n-grams is by frequency over all documents, then by number. Frequencies are counted in two shuffles
+   without a broadcast: a task deals the n-grams of many documents out to parts of the number line, as sorted arrays; a part counts
+   and answers which of them occur twice or more. An n-gram that is frequent within a task is sent once, with its count. Only
+   shared n-grams can be in an intersection, so sets go on without those that occur once.
+3. Of linked sets, the rarest n-gram that both hold is among the size - need + 1 rarest of each, the *prefix*. Sets whose prefix
+   holds no shared n-gram are done. The others are candidates; each n-gram of a prefix joins its sets to the first of them (equal ones of
+   a task are joined before the shuffle), and the components of these edges meet.
+4. A component is a block, or several if it is large (then every two blocks meet, each in a task of its own). A task stores one block's
+   sets, in the global order from the frequent end, in a prefix tree and sends all sets of the other through it: sets share the
+   overlap of a common path, and a subtree is left as soon as the lengths that remain can't give the overlap needed.
+   Links are exact counts; links that span are sent on, the others are only counted.
+5. The components of the links, with the classes, give component_id.
 
 Defined results: null and empty texts and those of white space have an empty set and are linked with nothing. A text of
-fewer words than n has one n-gram, all of its words. Rows that share a doc_id count as one document. A row without a doc_id
-gets the component of an equal set with one, else none.
+fewer words than n has one n-gram, all of its words. Each row is a document of its own, also where rows share a doc_id: rows of one id
+with different sets are linked only if their sets are. component_id is the smallest doc_id of the rows that can be reached; a row
+without a doc_id gets that, too, or null if there is none. Ties and repeated rows are equal sets. An empty table gives no rows.
+
+docs must give the same rows in the same order if read again (a table or a checkpoint does), as tasks may be run again.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_arrow, only_ids
+from .common import components, cut, map_arrow
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_S30, _S27, _S31, _S32 = (np.uint64(x) for x in (30, 27, 31, 32))
-#: Digests that a task holds at once, documents and set elements in two blocks that meet.
-FLUSH, BLOCK_DOCS, BLOCK_ELEMENTS = 1_500_000, 400, 2_000_000
+_S30, _S27, _S31 = (np.uint64(x) for x in (30, 27, 31))
+#: N-grams that a task deals out at once, and documents at most (their numbers are sent in 16 bits).
+FLUSH, FLUSH_DOCS = 1_500_000, 60_000
+#: An n-gram of so many documents of a flush is sent once with its count.
+FREQUENT = 32
+ONCE = 0xFFFF
+#: N-grams of a part of the number line; parts are at most 2^16, so that a flush has many for each.
+PART, MOST_PART_BITS = 400_000, 16
+#: Bits of an n-gram's number within its part.
+WITHIN = 40
+#: Documents and set elements in two blocks that meet.
+BLOCK_DOCS, BLOCK_ELEMENTS = 1_000, 2_000_000
 #: Cells of the membership table of a task.
 CELLS = 48_000_000
 
@@ -67,7 +80,7 @@ def word_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
 
     def grams(of: np.ndarray, k: int) -> np.ndarray:
         m = len(of) - k + 1
-        acc = of[:m] + np.uint64(k) * _C
+        acc = of[:m] + np.uint64(k * int(_C) % 2**64)
         for j in range(1, k):
             acc = mix(acc) + of[j : j + m]
         return mix(acc)
@@ -87,55 +100,13 @@ def word_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-class Schemes:
-    """Size classes for a similarity in per cent, and the ranges of each."""
-
-    def __init__(self, similarity: int) -> None:
-        self.t = similarity
-        self.first = [1]
-
-    def of(self, size: int) -> int:
-        while self.first[-1] <= size:
-            self.first.append(self.first[-1] * 100 // self.t + 1)
-        return int(np.searchsorted(self.first, size, side="right")) - 1
-
-    @lru_cache(1000)  # noqa: B019  (one object per task)
-    def ranges(self, k: int) -> tuple[int, int]:
-        """Ranges of a scheme, and how many empty ones they allow for: linked sets agree in more ranges than that."""
-        largest = self.first[k] * 100 // self.t
-        differ = 2 * largest * (100 - self.t) // (100 + self.t)
-        # Four standard deviations more than the smallest set that uses the scheme is expected to have. Some tiny sets never
-        # get there, so the search ends at a few ranges an element; any number of spare ranges gives the same links.
-        smallest = self.first[max(0, k - 1)]
-        for spare in range(4 * largest + 1):
-            m = differ + 1 + spare
-            empty = math.exp(-smallest / m)
-            spread = math.sqrt(max(0.0, m * empty * (1 - (1 + smallest / m) * empty)))
-            if spare >= m * empty + 4 * spread:
-                break
-        return differ + 1 + spare, spare
-
-    def digests(self, s: np.ndarray) -> np.ndarray:
-        """Of the ranges of s, in the schemes of its own class and of the next.
-
-        Empty ranges are left out, as all sets of a class would agree in them: linked sets have `spare` more ranges
-        in common than one. Only a set with more empty ranges than that sends them, too; of two linked sets without a
-        common range that isn't empty both are such."""
-        k = self.of(len(s))
-        self.of(self.first[k] * 100 // self.t + 1)
-        value = mix(s)
-        out = []
-        for c in (k, k + 1):
-            m, spare = self.ranges(c)
-            at = (((s >> _S32) * np.uint64(m)) >> _S32).astype(np.int64)
-            cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            sums, used = np.add.reduceat(value, cuts), at[cuts]
-            if m - len(used) > spare:
-                every = np.zeros(m, np.uint64)
-                every[used] = sums
-                sums, used = every, np.arange(m)
-            out.append(mix(sums * _A + used.astype(np.uint64) * _B + np.uint64(c + 1) * _C))
-        return np.concatenate(out)
+def need(a, b, similarity: int):
+    """Least intersection of linked sets of these sizes."""
+    return -(-similarity * (a + b) // (100 + similarity))
+
+
+def set_digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def set_classes(docs: DataFrame, n: int) -> DataFrame:
@@ -143,130 +114,245 @@ def set_classes(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = word_sets(batch.column("text").to_pylist(), n)
-        digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        digest = [set_digest(s) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary())], ["doc_id", "n_shingles", "digest"])
 
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, n_shingles long, digest binary")
 
 
-def _digest_rows(docs: DataFrame, n: int, similarity: int) -> DataFrame:
-    """sig, doc, hub: a digest of a range with a document, or (hub given) an edge found within the task."""
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of 64-bit numbers, all first bytes before all second ones: the high ones of sorted numbers compress well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplanes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.empty(0, np.int64)
+
 
-    def flush(sigs: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
-        sig = np.concatenate(sigs)
-        doc = np.repeat(np.array(ids, np.int64), [len(s) for s in sigs])
+#: One row per flush and part: its n-grams (planes of WITHIN bits), their documents (16 bits each, ONCE for a frequent one)
+#: and the counts of the frequent ones. One row more per flush: its set digests and sizes, and the documents of its frequent n-grams.
+DEALT = "part int, flush long, grams binary, docs binary, times binary, nodes binary, sizes binary"
+
+
+def deal(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    shift = np.uint64(64 - WITHIN - bits)
+    low = np.uint64((1 << WITHIN) - 1)
+
+    def flush(number: int, nodes: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple]:
+        size = np.array([len(s) for s in sets], np.int64)
+        gram = np.concatenate(sets) >> shift
+        o = np.argsort(gram, kind="stable")
+        gram, doc = gram[o], np.repeat(np.arange(len(sets)), size)[o].astype(np.uint16)
+        first = _runs(gram)
+        count = np.diff(np.r_[first, len(gram)])
+        often = count >= FREQUENT
+        of_often = np.repeat(often, count)
+        yield number % (1 << bits), number, planes(gram[first[often]], 8), doc[of_often].tobytes(), count[often].astype("<u4").tobytes(), b"".join(nodes), size.astype("<u4").tobytes()
+        sent = ~of_often
+        sent[first[often]] = True
+        doc[first[often]] = ONCE
+        gram, doc, times = gram[sent], doc[sent], count[often].astype("<u4")
+        frequent = np.r_[0, np.cumsum(doc == ONCE)]
+        cuts = np.searchsorted(gram, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(WITHIN))
+        for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if a < b:
+                yield part, number, planes(gram[a:b] & low, WITHIN // 8), doc[a:b].tobytes(), times[frequent[a] : frequent[b]].tobytes(), None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        held: dict[bytes, np.ndarray] = {}
+        total = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = list(flush(number, list(held), list(held.values())))
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+            for k in range(0, len(rows), 256):
+                cols = zip(*rows[k : k + 256], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "flush", "grams", "docs", "times", "nodes", "sizes"])
+
+        for batch in batches:
+            for s in word_sets(batch.column("text").to_pylist(), n):
+                if len(s) and (node := set_digest(s)) not in held:
+                    held[node] = s
+                    total += len(s)
+                if total >= FLUSH or len(held) >= FLUSH_DOCS:
+                    yield from out()
+                    held, total, number = {}, 0, number + 1
+        if held:
+            yield from out()
+
+    return docs.select("text").mapInArrow(run, DEALT)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows that agree in the first column, from rows sorted by it."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if rows and rows[0][0] != row[0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+#: Answers: the n-grams of a flush that are shared, with their documents and frequencies; the flush's own row goes along.
+SHARED = "flush long, part int, grams binary, docs binary, often binary, times binary, nodes binary, sizes binary"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
+    names = ["flush", "part", "grams", "docs", "often", "times", "nodes", "sizes"]
+    for rows in _groups(batches, ("part", "flush", "grams", "docs", "times", "nodes", "sizes")):
+        own = [r for r in rows if r[5] is None]
+        out = [(r[1], r[0], r[2], r[3], None, r[4], r[5], r[6]) for r in rows if r[5] is not None]
+        if own:
+            gram = np.concatenate([unplanes(r[2], WITHIN // 8) for r in own])
+            doc = np.concatenate([np.frombuffer(r[3], np.uint16) for r in own])
+            weight = np.ones(len(gram), np.int64)
+            weight[doc == ONCE] = np.concatenate([np.frombuffer(r[4], "<u4") for r in own])
+            o = np.argsort(gram, kind="stable")
+            first = _runs(gram[o])
+            often = np.empty(len(gram), np.int64)
+            often[o] = np.repeat(np.add.reduceat(weight[o], first), np.diff(np.r_[first, len(gram)]))
+            cuts = np.cumsum([0, *(len(r[3]) // 2 for r in own)])
+            for r, a, b in zip(own, cuts[:-1], cuts[1:], strict=True):
+                keep = a + np.flatnonzero(often[a:b] > 1)
+                if len(keep):
+                    out.append((r[1], r[0], planes(gram[keep], WITHIN // 8), doc[keep].tobytes(), planes(often[keep], 5), None, None, None))
+        for k in range(0, len(out), 256):
+            cols = zip(*out[k : k + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+
+#: A prefix n-gram with a set that has it (hub: the two sets were joined within the flush); or (sig null) a candidate's size and elements.
+CANDIDATES = "sig long, node binary, hub binary, m long, elements binary"
+
+
+def _candidates(similarity: int):
+    def of_flush(rows: list[tuple]) -> pa.RecordBatch | None:
+        (own,) = [r for r in rows if r[6] is not None]
+        rows = [r for r in rows if r[6] is None]
+        if not rows:
+            return None
+        nodes = [own[6][k : k + 16] for k in range(0, len(own[6]), 16)]
+        size = np.frombuffer(own[7], "<u4").astype(np.int64)
+        gram = np.concatenate([unplanes(r[2], WITHIN // 8) | np.uint64(r[1] << WITHIN) for r in rows])
+        doc = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows]).astype(np.int64)
+        often = np.concatenate([unplanes(r[4], 5) for r in rows])
+        # frequent n-grams: their documents are in the flush's own row
+        known = unplanes(own[2], 8)
+        times = np.frombuffer(own[5], "<u4").astype(np.int64)
+        once = doc == ONCE
+        order = np.argsort(gram[once])
+        back = np.searchsorted(gram[once][order], known)
+        doc = np.r_[doc[~once], np.frombuffer(own[3], np.uint16).astype(np.int64)]
+        often_of_known = often[once][order][back] if len(known) else np.empty(0, np.uint64)
+        often = np.r_[often[~once], np.repeat(often_of_known, times)]
+        gram = np.r_[gram[~once], np.repeat(known, times)]
+        # the global order: the most frequent first; the number of an element holds its place in it
+        level = np.uint64(255) - np.minimum(8 * np.log2(often), 255).astype(np.uint64)
+        key = level << np.uint64(56) | gram
+        shared = np.bincount(doc, minlength=len(nodes))
+        wanted = shared + 1 - -(-similarity * size // 100)
+        mine = wanted[doc] > 0
+        key, doc = key[mine], doc[mine]
+        o = np.lexsort((key, doc))
+        key, doc = key[o], doc[o]
+        first = _runs(doc)
+        if not len(first):
+            return None
+        last = np.r_[first[1:], len(doc)]
+        which = doc[first]
+        elements = [key[a:b].astype("<u8").tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        # the prefix is at the rare end
+        prefix = np.arange(len(key)) >= np.repeat(last - wanted[which], last - first)
+        sig, of = key[prefix], doc[prefix]
         o = np.argsort(sig, kind="stable")
-        sig, doc = sig[o], doc[o]
-        first = np.r_[True, sig[1:] != sig[:-1]]
-        hub = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-        more = ~first & (hub != doc)
-        edges = np.unique(np.stack([doc[more], hub[more]]), axis=1) if more.any() else np.empty((2, 0), np.int64)
-        key = mix(mix(edges[0].astype(np.uint64)) + edges[1].astype(np.uint64))
-        nulls = np.r_[np.ones(first.sum(), bool), np.zeros(edges.shape[1], bool)]
+        sig, of = sig[o], of[o]
+        start = _runs(sig)
+        hub = np.repeat(of[start], np.diff(np.r_[start, len(sig)]))
+        pairs = np.unique(np.stack([of, hub], 1)[of != hub], axis=0)
+        key_of = mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64))
+        sigs = [*sig[start].view(np.int64).tolist(), *key_of.view(np.int64).tolist(), *[None] * len(which)]
+        named = [nodes[i] for i in [*of[start].tolist(), *pairs[:, 0].tolist(), *which.tolist()]]
+        hubs = [*[None] * len(start), *(nodes[i] for i in pairs[:, 1].tolist()), *[None] * len(which)]
+        none = [None] * (len(start) + len(pairs))
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.r_[sig[first], key].view(np.int64)),
-                pa.array(np.r_[doc[first], edges[0]]),
-                pa.array(np.r_[np.zeros(first.sum(), np.int64), edges[1]], mask=nulls),
-            ],
-            ["sig", "doc", "hub"],
+            [pa.array(sigs, pa.int64()), pa.array(named, pa.binary()), pa.array(hubs, pa.binary()), pa.array([*none, *size[which].tolist()], pa.int64()), pa.array([*none, *elements], pa.binary())],
+            ["sig", "node", "hub", "m", "elements"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schemes = Schemes(similarity)
-        sigs: list[np.ndarray] = []
-        ids: list[int] = []
-        held = 0
-        for batch in batches:
-            for doc, s in zip(batch.column("doc_id").to_pylist(), word_sets(batch.column("text").to_pylist(), n), strict=True):
-                if len(s) and doc is not None:
-                    sigs.append(schemes.digests(s))
-                    ids.append(doc)
-                    held += len(sigs[-1])
-                    if held >= FLUSH:
-                        yield flush(sigs, ids)
-                        sigs, ids, held = [], [], 0
-        if sigs:
-            yield flush(sigs, ids)
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "sig long, doc long, hub long")
-
-
-def _join_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) from rows sorted by sig: each document to the first of its group. Holds one batch."""
-    last, hub_of_last = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = batch.column("sig").to_numpy()
-        doc = batch.column("doc").to_numpy()
-        hub = batch.column("hub").to_numpy(zero_copy_only=False)
-        found = ~np.isnan(hub) if hub.dtype.kind == "f" else np.ones(len(sig), bool)
-        local = batch.filter(pa.array(found))
-        rest = ~found
-        sig, doc = sig[rest], doc[rest]
-        a, b = [local.column("doc").to_numpy()], [local.column("hub").to_numpy(zero_copy_only=False).astype(np.int64)]
-        if len(sig):
-            first = np.r_[True, sig[1:] != sig[:-1]]
-            if last is not None and sig[0] == last:
-                first[0] = False
-            starts = np.flatnonzero(first)
-            which = np.cumsum(first) - 1
-            hubs = doc[starts]
-            of = np.empty(len(doc), np.int64)
-            of[which >= 0] = hubs[which[which >= 0]]
-            of[which < 0] = hub_of_last if hub_of_last is not None else 0
-            last, hub_of_last = sig[-1], of[-1]
-            more = of != doc
-            a.append(doc[more])
-            b.append(of[more])
-        edges = np.stack([np.concatenate(a), np.concatenate(b)])
-        if edges.shape[1]:
-            edges = np.unique(edges, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
+        for rows in _groups(batches, ("flush", "part", "grams", "docs", "often", "times", "nodes", "sizes")):
+            out = of_flush(rows)
+            if out is not None:
+                yield out
 
+    return run
 
-def need(a, b, similarity: int):
-    """Least intersection of linked sets of these sizes."""
-    return -(-similarity * (a + b) // (100 + similarity))
+
+def _join_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) from rows sorted by sig: each set to the first of its n-gram. Holds one batch."""
+    last = first = None
+    for batch in batches:
+        found = set()
+        for sig, node, hub in zip(*(batch.column(c).to_pylist() for c in ("sig", "node", "hub")), strict=True):
+            if hub is not None:
+                found.add((node, hub))
+            elif sig != last:
+                last, first = sig, node
+            elif node != first:
+                found.add((node, first))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 class PrefixTree:
-    """Sets of numbers 0.. in one global order, most frequent first; equal beginnings are stored once."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-        self.sets = [sets[i] for i in self.order]
-        self.size = np.array([len(s) for s in self.sets], np.int64)
-        self.shared = np.zeros(len(sets) + 1, np.int64)
-        for k in range(1, len(sets)):
-            a, b = self.sets[k - 1], self.sets[k]
+    """Rising lists of numbers 0..; equal beginnings are stored once. sizes: of the whole sets, of which the lists are parts."""
+
+    def __init__(self, lists: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.order = sorted(range(len(lists)), key=lambda i: lists[i].astype(">u4").tobytes())
+        self.lists = [lists[i] for i in self.order]
+        self.length = np.array([len(s) for s in self.lists], np.int64)
+        self.size = sizes[self.order]
+        self.shared = np.zeros(len(lists) + 1, np.int64)
+        for k in range(1, len(lists)):
+            a, b = self.lists[k - 1], self.lists[k]
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[:m] != b[:m])
             self.shared[k] = differ[0] if len(differ) else m
 
-    def join(self, member: np.ndarray, sizes: np.ndarray, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
+    def join(self, member: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
         """For each stored set (by its number before sorting) the probes linked with it.
 
-        member[e, p]: whether probe p holds e; sizes: of the probes."""
-        todo = [(0, len(self.sets), 0, np.arange(len(sizes)), np.zeros(len(sizes), np.int64))]
+        member[e, p]: whether probe p holds e; lengths and sizes: of the probes' lists and whole sets."""
+        todo = [(0, len(self.lists), 0, np.arange(len(sizes)), np.zeros(len(sizes), np.int64))]
         while todo:
             lo, hi, depth, probes, overlap = todo.pop()
             inner = self.shared[lo + 1 : hi]
-            end = int(inner.min()) if len(inner) else int(self.size[lo])
-            small, large = self.size[lo:hi].min(), self.size[lo:hi].max()
+            end = int(inner.min()) if len(inner) else int(self.length[lo])
             if end > depth:
-                overlap = overlap + member[self.sets[lo][depth:end]][:, probes].sum(axis=0)
-            # what remains of the longest set below, or of the probe, can't give the overlap needed
-            reach = overlap + np.minimum(large - end, sizes[probes] - overlap)
-            ok = reach >= need(small, sizes[probes], similarity)
+                path = self.lists[lo][depth:end]
+                overlap = overlap + (member[path] if len(probes) == member.shape[1] else member[np.ix_(path, probes)]).sum(axis=0)
+            # what remains of the longest list below, or of the probe, can't give the overlap needed by the smallest set below
+            reach = overlap + np.minimum(self.length[lo:hi].max() - end, lengths[probes] - overlap)
+            ok = reach >= need(self.size[lo:hi].min(), sizes[probes], similarity)
             if not ok.all():
                 probes, overlap = probes[ok], overlap[ok]
             if not len(probes):
                 continue
             k = lo
-            while k < hi and self.size[k] == end:  # sets that end at this node come first
-                hit = overlap >= need(end, sizes[probes], similarity)
+            while k < hi and self.length[k] == end:  # lists that end at this node come first
+                hit = overlap >= need(self.size[k], sizes[probes], similarity)
                 if hit.any():
                     yield self.order[k], probes[hit]
                 k += 1
@@ -275,119 +361,124 @@ class PrefixTree:
                 todo += [(int(x), int(y), end, probes, overlap) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def join_blocks(stored: list[tuple[int, int, np.ndarray]], probes: list[tuple[int, int, np.ndarray]] | None, similarity: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Rows (id, copies, set). Links that span the components found, and each id's number of linked rows.
+Row = tuple[bytes, int, int, np.ndarray]
+
+
+def join_blocks(stored: list[Row], probes: list[Row] | None, similarity: int) -> tuple[list[tuple[bytes, bytes]], dict[bytes, int]]:
+    """Rows (node, copies, size, elements). Links that span the components found, and each node's number of linked rows.
     probes None: the stored sets among themselves."""
     own = probes is None
     probes = stored if own else probes
-    values, inverse, count = np.unique(np.concatenate([s for _, _, s in stored]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, -count))] = np.arange(len(values))
-    inverse = rank[inverse]
-    cuts = np.cumsum([len(s) for _, _, s in stored])[:-1]
-    tree = PrefixTree([np.sort(x) for x in np.split(inverse, cuts)])
-    parent = {i: i for i, _, _ in [*stored, *probes]}
-
-    def root(x: int) -> int:
+    values, inverse = np.unique(np.concatenate([r[3] for r in stored]), return_inverse=True)
+    cuts = np.cumsum([len(r[3]) for r in stored])[:-1]
+    tree = PrefixTree(np.split(inverse, cuts), np.array([r[2] for r in stored], np.int64))
+    parent = {r[0]: r[0] for r in [*stored, *probes]}
+
+    def root(x: bytes) -> bytes:
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    links: list[tuple[int, int]] = []
-    degree: dict[int, int] = {}
+    links: list[tuple[bytes, bytes]] = []
+    degree: dict[bytes, int] = {}
     step = max(1, CELLS // max(1, len(values)))
     for begin in range(0, len(probes), step):
         part = probes[begin : begin + step]
+        copies = np.array([r[1] for r in part], np.int64)
         member = np.zeros((len(values), len(part)), bool)
-        for p, (_, _, s) in enumerate(part):
-            at = np.searchsorted(values, s)
+        for p, r in enumerate(part):
+            at = np.searchsorted(values, r[3])
             at[at == len(values)] = 0
-            member[rank[at[values[at] == s]], p] = True
-        for k, hits in tree.join(member, np.array([len(s) for _, _, s in part], np.int64), similarity):
-            x, copies, _ = stored[k]
+            member[at[values[at] == r[3]], p] = True
+        lengths, sizes = (np.array(x, np.int64) for x in ([len(r[3]) for r in part], [r[2] for r in part]))
+        of_probe = np.zeros(len(part), np.int64)
+        for k, hits in tree.join(member, lengths, sizes, similarity):
+            x, more = stored[k][:2]
+            if own:
+                hits = hits[hits != k - begin]
+            degree[x] = degree.get(x, 0) + int(copies[hits].sum())
+            of_probe[hits] += more
             for p in hits.tolist():
-                y, more, _ = part[p]
-                if x == y:
-                    continue
-                degree[x] = degree.get(x, 0) + more
-                if not own:
-                    degree[y] = degree.get(y, 0) + copies
-                a, b = root(x), root(y)
+                a, b = root(x), root(part[p][0])
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-                    links.append((x, y))
+                    links.append((x, part[p][0]))
+        if not own:
+            for p in np.flatnonzero(of_probe).tolist():
+                degree[part[p][0]] = degree.get(part[p][0], 0) + int(of_probe[p])
     return links, degree
 
 
 def _join_rows(similarity: int):
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        (_, i, j) = rows[0][:3]
-        sets = [(r[3], r[4], np.frombuffer(r[5], "<u8")) for r in rows]
+    def out(rows: list[tuple]) -> pa.RecordBatch | None:
+        (i, j) = rows[0][0][1:]
+        # equal sets of several flushes are neighbours
+        rows = [r for k, r in enumerate(rows) if not k or rows[k - 1][1] != r[1]]
+        sets = [(r[1], r[2], r[3], np.frombuffer(r[4], "<u8")) for r in rows]
         if i == j:
-            links, degree = join_blocks(sets, None, similarity)
+            links, degree = join_blocks(sets, None, similarity) if len(sets) > 1 else ([], {})
         else:
-            here = [s for s, r in zip(sets, rows, strict=True) if r[6] == i]
-            there = [s for s, r in zip(sets, rows, strict=True) if r[6] != i]
+            here = [s for s, r in zip(sets, rows, strict=True) if r[5] == i]
+            there = [s for s, r in zip(sets, rows, strict=True) if r[5] != i]
             links, degree = join_blocks(here, there, similarity) if here and there else ([], {})
         a = [x for x, _ in links] + list(degree)
         b = [y for _, y in links] + [None] * len(degree)
         n = [0] * len(links) + list(degree.values())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "doc", "copies", "elements", "block")), strict=True):
-                if rows and rows[0][:3] != row[:3]:
-                    if len(rows) > 1:
-                        yield out(rows)
+            meeting = zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True)
+            for row in zip(meeting, *(batch.column(c).to_pylist() for c in ("node", "copies", "m", "elements", "block")), strict=True):
+                if rows and rows[0][0] != row[0]:
+                    yield out(rows)
                     rows = []
                 rows.append(row)
-        if len(rows) > 1:
+        if rows:
             yield out(rows)
 
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 3, similarity: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: rows linked with this one, equal sets included."""
-    rows = cut(set_classes(docs, n))
-    classes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    copies = rows.join(classes.where("copies > 1 and rep is not null"), "digest").where("doc_id <> rep").select("doc_id", "rep").distinct()
-    copies = cut(copies)
-    sorted_digests = _digest_rows(docs, n, similarity).repartition("sig").sortWithinPartitions("sig", "doc")
-    edges = cut(sorted_digests.mapInArrow(_join_digests, "a long, b long").distinct())
-    for end in ("a", "b"):
-        to = copies.select(F.col("doc_id").alias(end), F.col("rep").alias("_rep"))
-        edges = edges.join(to, end, "left").withColumn(end, F.coalesce("_rep", end)).drop("_rep")
-    near = components(edges)
-    size = near.groupBy("comp")
-
-    def elements(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = word_sets(batch.column("text").to_pylist(), n)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "m", "elements"])
-
-    sizes = rows.join(classes, "digest").where("doc_id = rep").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("m"), "copies").dropDuplicates(["node"])
-    near = cut(near.join(sizes, "node"))
+def links(docs: DataFrame, classes: DataFrame, n: int, similarity: int) -> DataFrame:
+    """classes: digest, m, copies. Rows (a, b, n): links that span the components (n is 0), and (b null) the linked rows of a class."""
+    total = classes.agg(F.sum("m")).first()[0] or 0
+    bits = min(MOST_PART_BITS, max(4, (total // PART).bit_length()))
+    dealt = deal(docs, n, bits).repartition(F.col("part")).sortWithinPartitions("part", "flush")
+    shared = dealt.mapInArrow(_count, SHARED).repartition(F.col("flush")).sortWithinPartitions("flush")
+    found = cut(shared.mapInArrow(_candidates(similarity), CANDIDATES))
+    prefixes = found.where("sig is not null").select("sig", "node", "hub").repartition("sig").sortWithinPartitions("sig", "node")
+    near = cut(components(prefixes.mapInArrow(_join_prefixes, "a binary, b binary")).join(classes.withColumnRenamed("digest", "node"), "node"))
     size = near.groupBy("comp").agg(F.count("*").alias("docs"), F.sum("m").alias("total"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") * 2 / BLOCK_DOCS), F.ceil(F.col("total") * 2 / BLOCK_ELEMENTS)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("docs") * 2 / BLOCK_DOCS), F.ceil(F.col("total") * 2 / BLOCK_ELEMENTS)).cast("int")
     blocks = F.when((F.col("docs") <= BLOCK_DOCS) & (F.col("total") <= BLOCK_ELEMENTS), F.lit(1)).otherwise(blocks)
-    dealt = near.join(size.select("comp", blocks.alias("blocks")), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = only_ids(docs.selectExpr("cast(doc_id as long) doc_id", "text"), near.select(F.col("node").alias("doc_id")))
-    sets = map_arrow(members, elements, "doc long, m long, elements binary").where("m > 0")
+    placed = near.join(size.select("comp", blocks.alias("blocks")), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = (
-        dealt.join(sets.drop("m"), dealt["node"] == sets["doc"])
+        found.where("sig is null")
+        .select("node", "elements")
+        .join(placed, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "copies", "elements", "block")
+        .select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "m", "elements", "block")
     )
-    found = cut(met.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "doc").mapInArrow(_join_rows(similarity), "a long, b long, n long"))
-    comp = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "comp")
-    degree = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("degree"))
-    known = classes.join(comp, "rep", "left").join(degree, "rep", "left").select(
-        "digest", F.coalesce("comp", "rep").alias("comp"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")
+    return cut(met.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(_join_rows(similarity), "a binary, b binary, n long"))
+
+
+def jaccard_join(docs: DataFrame, n: int = 3, similarity: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: rows linked with this one, equal sets included."""
+    rows = cut(set_classes(docs, n))
+    classes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("m"), F.count("*").alias("copies")))
+    found = links(docs, classes.select("digest", "m", "copies"), n, similarity)
+    comp = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("digest"), "comp")
+    named = classes.join(comp, "digest")
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    component = named.select("digest", "comp").join(least, "comp").drop("comp")
+    degree = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("degree"))
+    known = classes.join(component, "digest", "left").join(degree, "digest", "left").select(
+        "digest", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")
     )
-    return rows.join(known, "digest", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(known, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def near_copies(docs: DataFrame, row: str, n: int = 5, similarity: int = 80) -> DataFrame:
