@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges up to which a whole graph goes to one task; larger graphs are dealt out by component.
 ONE_TASK_EDGES = 2_000_000
+#: Different edges up to which components are found in one task; larger graphs take rounds of joins.
+ONE_TASK_COMPONENTS = 500_000
 
 
 def checkpoints(spark: SparkSession) -> str:
@@ -43,13 +47,36 @@ def _jump(hook: DataFrame, moved: bool = False) -> DataFrame:
     return hook.join(up, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), *flag)
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, comp) of all edges (a, b) that come."""
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("a").type
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(parent.setdefault(a, a)), root(parent.setdefault(b, b))
+            parent[max(x, y)] = min(x, y)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(list(map(root, nodes)), kind)], ["node", "comp"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b) to rows (node, comp): comp is the smallest node of the component. Nodes of one type.
 
-    Each round hooks every node to its smallest neighbour, follows the pointers to the roots by doubling, and
+    A graph of few different edges (counted) goes to one task; of others, each round hooks every node to its smallest neighbour, follows the pointers to the roots by doubling, and
     replaces the ends of edges by their roots; the edges of a hub collapse by a map-side distinct."""
     live = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     kind = live.schema["a"].dataType.simpleString()
+    if is_small(live, ONE_TASK_COMPONENTS):
+        return cut(live.repartition(1).mapInArrow(_union, f"node {kind}, comp {kind}"))
     maps: list[DataFrame] = []
     for _ in range(rounds):
         if live.isEmpty():

@@ -180,7 +180,9 @@ def test_settle_deep_chain(spark):
     assert graph.settle(n, e).agg(F.max("level")).first()[0] == 31_999
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [0, 500_000])
+def test_components(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(graph, "ONE_TASK_COMPONENTS", in_one_task)
     e = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("z", "z")], "a string, b string")
     assert {tuple(r) for r in graph.components(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
 
