@@ -6,9 +6,9 @@ on the histogram of piece lengths, which has at most `capacity` entries however
 1. the configuration linear program (how often to use each *pattern*, a multiset of lengths that fits into one
    sequence, so that every length is covered as often as it occurs, with the fewest sequences) is solved
    by multiplicative weights; a knapsack dynamic program prices the best pattern for the weights, and of the same
-   prices every length gets its own best pattern, of which those near the best are used, too. Rounds go on until the
-   demand is covered;
-2. fractions are rounded down, and what is left uncovered is packed best fit, longest first, still on the
+   prices every length gets its own best pattern, of which those near the best are used, too. Prices give a dual
+   bound; rounds go on until the demand is covered by a solution whose value is within GAP of the bound;
+2. uses are rounded to whole numbers, and what is left uncovered is packed best fit, longest first, still on the
    histogram: sequences with equal contents are one entry with a count.
 
 The n-th piece of a length then takes the n-th place for that length in the plan. Numbers within a length
@@ -20,14 +20,16 @@ each on their own. An empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 import math
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -40,99 +42,81 @@ from .common import CACHE_ENTRIES, cut, map_arrow
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
 END_ID = 1
-#: Most rounds of the multiplicative weights; None: until the demand is covered. Each uses up one length at least.
-ROUNDS: int | None = None
+#: The program is solved when its value is at most this share above the dual bound.
+GAP = 0.01
+#: Rounds of the second pass, at most, and the rate at which prices fall with coverage.
+ROUNDS, STEP = 400, 0.1
 #: A pattern is used in a round if its value is so near the best.
 NEAR_BEST = 0.98
-#: Characters whose words are held at once.
-GROUP_CHARS = 250_000
+#: Share of the tokens that the first pass leaves to best fit, where few lengths with pieces left make rounds short.
+REST = 0.1
 #: Pieces numbered by one task.
 NUMBERED = 200_000
 
 
-class WordEncoder:
-    """Ids of whole texts. The tokenizer drops white space and never joins across it, so what stands between
-    spaces is encoded once and kept."""
+class _Known(dict):
+    """Chunk to ids (little-endian unsigned 32-bit); a chunk that isn't there is encoded when it is asked for."""
+
+    #: Chunks of these alone (printable ASCII without capitals, and letters that are normal forms in lower case) are split here: what the
+    #: tokenizer's normaliser does leaves them as they are. Others go through the library whole.
+    SIMPLE = re.compile("[\x21-\x40\x5b-\x7eß-öø-ÿ]+")
+    #: The split of the tokenizer's file, for such chunks.
+    SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
     def __init__(self, path: str) -> None:
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[str, bytes] = {"": b""}
+        self.tokenize = self.tokenizer.model.tokenize
+        # how the byte-level step writes each letter of SIMPLE
+        step = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelt = str.maketrans({chr(c): step.pre_tokenize_str(chr(c))[0][0] for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))})
+
+    def __missing__(self, chunk: str) -> bytes:
+        plain = chunk.isascii()
+        if plain and chunk.isalpha() and chunk.islower():
+            ids = array("I", [t.id for t in self.tokenize(chunk)]).tobytes()
+        elif self.SIMPLE.fullmatch(chunk) and "<|" not in chunk:
+            parts = self.SPLIT.findall(chunk)
+            if len(parts) > 1:
+                ids = b"".join([self[x] for x in parts])
+            else:
+                ids = array("I", [t.id for t in self.tokenize(chunk if plain else chunk.translate(self.spelt))]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) < 64 and len(self) < 2 * CACHE_ENTRIES:
+            self[chunk] = ids
+        return ids
+
+
+class WordEncoder:
+    """Ids of whole texts. The tokenizer drops white space and never joins across it, so what stands between
+    spaces is encoded once and kept."""
 
-    #: Lower-casing ASCII first changes nothing, as the tokenizer lower-cases; a line end is white space like a space.
+    #: A line end is white space like a space.
+    LINES = bytes.maketrans(b"\n", b" ")
+    #: ASCII capitals may be lowered before the tokenizer does it, if no combining mark that could join one follows (those
+    #: begin with the bytes CC and CD) and no special token is made by it.
     FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", b"abcdefghijklmnopqrstuvwxyz ")
-    #: Between a letter and these marks the tokenizer always cuts.
-    MARKS = ",.;:!?"
-
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of texts that aren't known yet."""
-        known, new = self.known, {}
-        stems = {}
-        todo = set()
-        for p in parts:
-            stem = p.rstrip(self.MARKS)
-            if stem != p and stem and stem[-1].isalpha():
-                stems[p] = stem
-                todo.update(x for x in (stem, p[len(stem) :]) if x not in known)
-            else:
-                todo.add(p)
-        rest = []
-        for p in todo:
-            if p.isascii() and p.isalpha() and len(p) < 64:  # one word as it stands
-                new[p] = np.array([t.id for t in self.model.tokenize(p)], "<u4").tobytes()
-            else:
-                rest.append(p)
-        for p, e in zip(rest, self.batch(rest, add_special_tokens=False), strict=True):
-            new[p] = np.array(e.ids, "<u4").tobytes()
-        get = lambda x: new[x] if x in new else known[x]
-        new.update([(p, get(stem) + get(p[len(stem) :])) for p, stem in stems.items()])
-        return new
+
+    def __init__(self, path: str) -> None:
+        self.known = _Known(path)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return next(self.encode_all([text]))
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text. What is new in a group of texts is learnt at once; groups are bounded by their characters."""
-        group: list[list[str] | bytes] = []
-        chars = 0
-        get = self.known.__getitem__
-        for i, text in enumerate(texts):
-            parts = text.encode("utf-8", "replace").translate(self.FOLD).decode().split(" ")
-            try:
-                group.append(b"".join(map(get, parts)))
-            except KeyError:
-                group.append(parts)
-                chars += len(text)
-            if chars >= GROUP_CHARS or i == len(texts) - 1:
-                yield from self._encode_group(group)
-                group, chars = [], 0
-
-    def _encode_group(self, group: list[list[str] | bytes]) -> Iterator[bytes]:
-        """Encodes what isn't bytes yet."""
+        data = text.encode("utf-8", "replace")
+        fold = b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data
         known = self.known
-        waiting = [parts for parts in group if not isinstance(parts, bytes)]
-        missing: set[str] = set()
-        for parts in waiting:
-            missing.update(filterfalse(known.__contains__, parts))
-        if len(known) + 2 * len(missing) > CACHE_ENTRIES:
+        if len(known) > CACHE_ENTRIES:
             known.clear()
             known[""] = b""
-            missing = set().union(*waiting) - {""}
-        new = self._learn(missing) if missing else {}
-        long_ones = {p: ids for p, ids in new.items() if len(p) >= 64}
-        known.update((p, ids) for p, ids in new.items() if len(p) < 64)
-        for parts in group:
-            if isinstance(parts, bytes):
-                yield parts
-            elif long_ones and any(len(p) >= 64 for p in parts):
-                yield b"".join(long_ones[p] if len(p) >= 64 else known[p] for p in parts)
-            else:
-                yield b"".join(map(known.__getitem__, parts))
+        return b"".join(map(known.__getitem__, data.translate(self.FOLD if fold else self.LINES).decode().split(" ")))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        return map(self.encode, texts)
 
 
 @lru_cache(2)
@@ -164,12 +148,18 @@ def _priced(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """For each capacity the greatest value and the length to take first (0: none, as for one less): unbounded knapsack."""
     best = np.zeros(capacity + 1)
     take = np.zeros(capacity + 1, np.int64)
+    some = np.flatnonzero(value > 0)
+    few = len(some) < capacity // 8
+    worth, cuts = value[some], np.searchsorted(some, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
-        # value[l] + best[c - l] for l = 1..c
-        of = value[1 : c + 1] + best[c - 1 :: -1]
+        # value[l] + best[c - l] for l = 1..c, or for those that are worth anything
+        n = cuts[c]
+        if not n:
+            continue
+        of = worth[:n] + best[c - some[:n]] if few else value[1 : c + 1] + best[c - 1 :: -1]
         k = int(of.argmax())
         if of[k] > best[c - 1]:
-            best[c], take[c] = of[k], k + 1
+            best[c], take[c] = of[k], some[k] if few else k + 1
         else:
             best[c] = best[c - 1]
     return best, take
@@ -193,40 +183,83 @@ def price(value: np.ndarray, capacity: int) -> list[int]:
     return sorted(_taken(*_traceable(_priced(value, capacity)[1]), capacity), reverse=True)
 
 
-def configuration_lp(demand: dict[int, int], capacity: int, rounds: int | None = ROUNDS) -> list[tuple[list[int], float]]:
-    """Patterns and how often to use each, a fractional solution of the covering program that is nowhere above demand."""
-    size = np.arange(capacity + 1, dtype=float)
+@dataclass
+class Program:
+    """A fractional solution of the configuration program, and the value of the best dual solution found."""
+
+    patterns: list[tuple[list[int], float]]
+    value: float
+    bound: float
+
+    @property
+    def gap(self) -> float:
+        """How far the value may be above the optimum, as a share of it."""
+        return self.value / self.bound - 1 if self.bound else 0.0
+
+
+def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = ROUNDS, gap: float = GAP) -> Program:
+    """How often to use each pattern so that every length is covered, with the fewest sequences, by multiplicative weights.
+
+    Of any prices (value d * w of the demand, V of the best pattern), d * w / V bounds the program from below: prices over V are a dual
+    solution. Prices start at size / capacity. In a first pass a length whose demand is met leaves the program; the last REST of
+    the tokens is left to best fit, and the value is that of the rounded solution. If value and bound don't meet, a second pass lets demands be covered over and over, and a length's
+    price falls exponentially with the times it was covered, until they do or its rounds end; the mean covers all once the
+    least covered length is."""
+    lengths = np.array(sorted(x for x, n in demand.items() if n), np.int64)
+    if not len(lengths):
+        return Program([], 0.0, 0.0)
     d = np.zeros(capacity + 1)
-    for length, n in demand.items():
-        d[length] = n
-    have = d > 0
-    weight = np.where(have, size / capacity, -1.0)
-    left = d.copy()
-    out: list[tuple[list[int], float]] = []
-    n = 0
-    while (weight > 0).any() and (rounds is None or n < rounds):
-        n += 1
+    d[lengths] = [demand[int(x)] for x in lengths]
+    bound = 0.0
+
+    def respond(weight: np.ndarray, room: np.ndarray) -> Iterator[tuple[Counter, float]]:
+        """Patterns near the best at these prices, each length's own, and how often each is used; takes that from room."""
+        nonlocal bound
         best, take = _priced(weight, capacity)
-        own = np.flatnonzero(weight > 0)
+        bound = max(bound, float(d[lengths] @ np.maximum(weight[lengths], 0)) / best[capacity])
+        own = lengths[weight[lengths] > 0]
         of = weight[own] + best[capacity - own]
         order = np.argsort(-of, kind="stable")
-        near = own[order[of[order] >= NEAR_BEST * of.max()]]
         tables = _traceable(take)
-        for length in near.tolist():
-            pattern = [length, *_taken(*tables, capacity - length)]
-            times: dict[int, int] = {}
-            for x in pattern:
-                times[x] = times.get(x, 0) + 1
-            # prices are those of the start of the round
-            if any(left[x] < 1 for x in times):
-                continue
-            # as much of the pattern as the scarcest of its lengths allows
-            use = float(min(left[x] / k for x, k in times.items()))
-            out.append((sorted(pattern, reverse=True), use))
-            for x, k in times.items():
-                left[x] -= use * k
-                # multiplicative update: what is covered loses weight; what is used up has none
-                weight[x] = size[x] / capacity * math.exp(-0.1 * (1 - left[x] / d[x])) if left[x] >= 1 else -1.0
+        for length in own[order[of[order] >= NEAR_BEST * of.max()]].tolist():
+            if room[length] > 1e-9:
+                times = Counter(_taken(*tables, capacity - length))
+                times[length] += 1
+                # as much of the pattern as the scarcest of its lengths allows
+                use = min(room[x] / k for x, k in times.items())
+                if use > 1e-9:
+                    for x, k in times.items():
+                        room[x] -= use * k
+                    yield times, float(use)
+
+    price_of = np.arange(capacity + 1) / capacity
+    left, rest = d.copy(), REST * capacity * float(price_of @ d)
+    uses: dict[tuple[int, ...], float] = {}
+
+    def note(times: Counter, use: float) -> None:
+        key = tuple(sorted(times.elements(), reverse=True))
+        uses[key] = uses.get(key, 0.0) + use
+
+    while capacity * float(price_of @ left) > rest:
+        for times, use in respond(np.where(left > 1e-9, price_of * np.exp(-STEP * (1 - left / np.maximum(d, 1))), -1.0), left):
+            note(times, use)
+    met = [(list(p), x) for p, x in uses.items()]
+    # a packing of all is a solution, too
+    out = Program(met, float(sum(n for _, n in rounded(met, demand, capacity))), bound)
+
+    covered = np.zeros(capacity + 1)
+    uses = {}
+    for _ in range(rounds):
+        if out.gap <= gap:
+            break
+        room = d.copy()
+        for times, use in respond(np.where(d > 0, price_of * np.exp(-STEP * (covered - covered[lengths].min())), -1.0), room):
+            note(times, use)
+        covered[lengths] += 1 - room[lengths] / d[lengths]
+        out.bound, least, total = bound, covered[lengths].min(), sum(uses.values())
+        if least > 0 and total / least < out.value:
+            out = Program([(list(p), x / least) for p, x in uses.items()], total / least, bound)
+    out.bound = bound
     return out
 
 
@@ -272,21 +305,38 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[list[int], int]]
     return done
 
 
-def plan(demand: dict[int, int], capacity: int = CAPACITY, rounds: int | None = ROUNDS) -> list[tuple[list[int], int]]:
-    """Patterns with how many sequences use each; together they hold exactly the demand."""
+def rounded(program: list[tuple[list[int], float]], demand: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Patterns with how many sequences use each; together they hold exactly the demand. Whole uses come first; then, if that
+    takes fewer sequences, one more of the patterns with the largest fractions; what is left is packed best fit."""
     left = dict(demand)
     whole: dict[tuple[int, ...], int] = {}
-    for pattern, x in configuration_lp(demand, capacity, rounds):
-        n = int(x + 1e-9)
-        if n:
+
+    def use(pattern: list[int], n: int) -> None:
+        times = Counter(pattern)
+        n = min(n, *(left[x] // k for x, k in times.items()))
+        if n > 0:
             whole[tuple(pattern)] = whole.get(tuple(pattern), 0) + n
-            for length in pattern:
-                left[length] -= n
-    rounded = [(list(p), n) for p, n in whole.items()]
-    packed = rounded + best_fit(left, capacity)
-    plain = best_fit(demand, capacity)
-    # rounding may lose against packing all of it best fit where few pieces share a length
-    return min((packed, plain), key=lambda p: sum(n for _, n in p))
+            for x, k in times.items():
+                left[x] -= n * k
+
+    def filled() -> list[tuple[list[int], int]]:
+        return [(list(p), n) for p, n in whole.items()] + best_fit(left, capacity)
+
+    for pattern, x in sorted(program, key=lambda p: -p[1]):
+        use(pattern, int(x + 1e-9))
+    down = filled()
+    for pattern, x in sorted(program, key=lambda p: int(p[1] + 1e-9) - p[1]):
+        if x % 1 > 1e-9:
+            use(pattern, 1)
+    return min(filled(), down, key=lambda p: sum(n for _, n in p))
+
+
+def plan(demand: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, gap: float = GAP) -> list[tuple[list[int], int]]:
+    """Patterns with how many sequences use each; together they hold exactly the demand."""
+    demand = {x: n for x, n in demand.items() if n}
+    packed = rounded(configuration_lp(demand, capacity, rounds, gap).patterns, demand, capacity)
+    # rounding may lose a few sequences against best fit alone where hardly any pieces share a length
+    return min(packed, best_fit(demand, capacity), key=lambda p: sum(n for _, n in p))
 
 
 def lower_bound(demand: dict[int, int], capacity: int = CAPACITY) -> int:
@@ -295,20 +345,19 @@ def lower_bound(demand: dict[int, int], capacity: int = CAPACITY) -> int:
 
 def places(patterns: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     """The n-th place of each length, as runs: key = length << 40 | first number, sequence, offset."""
-    heap: list[tuple[int, int, int, int]] = []
+    runs: list[tuple[int, int, int, int]] = []
     base = 0
     seen: dict[int, int] = {}
     for pattern, n in patterns:
         offset = 0
         for length in pattern:
             first = seen.get(length, 0)
-            heap.append((length << 40 | first, base, offset, n))
+            runs.append((length << 40 | first, base, offset, n))
             seen[length] = first + n
             offset += length
         base += n
-    heapq.heapify(heap)
-    heap.sort()
-    a = np.array(heap, np.int64).reshape(-1, 4)
+    runs.sort()
+    a = np.array(runs, np.int64).reshape(-1, 4)
     return {"key": a[:, 0].copy(), "sequence": a[:, 1].copy(), "offset": a[:, 2].copy()}
 
 
@@ -322,12 +371,12 @@ def number(rows: DataFrame, salts: int) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(within) - 1).join(counts, ["length", "salt"]).withColumn("nth", F.col("before") + F.col("k")).drop("salt", "k", "before")
 
 
-def pack(docs: DataFrame, path: str = DEFAULT_VOCABULARY, capacity: int = CAPACITY, rounds: int | None = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, path: str = DEFAULT_VOCABULARY, capacity: int = CAPACITY, rounds: int = ROUNDS, gap: float = GAP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = cut(pieces(docs, path, capacity).withColumn("uid", F.monotonically_increasing_id()))
     # at most `capacity` rows come to the driver, whatever the input
     demand = {int(r[0]): int(r[1]) for r in rows.groupBy("length").count().collect()}
-    table = places(plan(demand, capacity, rounds))
+    table = places(plan(demand, capacity, rounds, gap))
     total = sum(demand.values())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
