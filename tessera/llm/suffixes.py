@@ -15,7 +15,8 @@ suffixes (to LENGTH bytes) so that equal ones are neighbours:
 5. Marked windows go back to their documents, overlapping ones are joined, and the rest of the bytes is kept.
 
 Defined results: null text is the empty text; texts shorter than LENGTH keep all. Rows are judged by their texts, so repeated rows are
-repeats of each other. Matches never cross documents.
+repeats of each other, and rows that share an id, or have none, are documents of their own. Ties don't arise: every repeat is marked. An
+empty table gives no rows. Matches never cross documents.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, is_small, map_arrow, only_ids, prepare, text_or_empty, without_ids
+from .common import cut, map_arrow, only_ids, prepare, text_or_empty, without_ids
 
 LENGTH = 200
 GRAM = 32
@@ -379,29 +380,25 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     rows = cut(docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), F.unhex(F.sha2(raw, 256)).alias("sha")))
     long_rows = rows.where(F.col("n_bytes") >= LENGTH)
     copies = cut(long_rows.groupBy("sha").agg(F.min("doc_id").alias("one"), F.count("*").alias("rows")).where("rows > 1"))
-    dropped = long_rows.join(copies, "sha").where("doc_id <> one").select("doc_id").distinct()
-    dropped = cut(dropped.join(copies.select(F.col("one").alias("doc_id")).distinct(), "doc_id", "left_anti"))
-    spans = removed_spans(without_ids(docs, dropped), spark)
+    # one row of the copies goes on; rows are told by id and text, as one id may stand for several texts
+    named = docs.withColumn("sha", F.unhex(F.sha2(raw, 256)))
+    dropped = long_rows.join(copies, "sha").where("doc_id <> one").select(F.struct("doc_id", "sha").alias("row")).distinct()
+    spans = removed_spans(without_ids(named.withColumn("row", F.struct("doc_id", "sha")), cut(dropped), "row"), spark)
     key = F.substring("sha", 1, 16)
-    left = long_rows.join(copies.select("sha"), "sha", "left_anti").select("doc_id", "n_bytes", "sha", key.alias("key"))
-    ids = spans.select("key")
-    partly = left.join(F.broadcast(ids) if is_small(ids) else ids.hint("shuffle_hash"), "key", "left_semi").select("doc_id", "key").withColumnRenamed("doc_id", "_id")
-
-    # only the texts that lose a part are moved to their spans, at any size
-    wanted = cut(partly.join(spans, "key").select("_id", "key", "spans"))
-    texts = only_ids(docs, wanted.select(F.col("_id").alias("doc_id")).distinct()).join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "key", "spans")
+    # only the texts that lose a part are moved to their spans, at any size; copies lose all
+    parts = cut(spans.join(copies.select(key.alias("key")), "key", "left_anti"))
+    keyed = named.where(F.octet_length(text_or_empty()) >= LENGTH).select("text", key.alias("key"))
+    texts = only_ids(keyed, parts.select("key"), "key").join(parts, "key").select("text", "key", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, t, key, flat in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "key", "spans")), strict=True):
+        for t, key, flat in zip(*(batch.column(c).to_pylist() for c in ("text", "key", "spans")), strict=True):
             data = (t or "").encode("utf-8", "replace")
-            if _key(data) != key:  # another text with this id
-                continue
-            rows.append((doc, key, sum(flat[1::2]) - sum(flat[::2]), len(flat) // 2, hashlib.sha256(kept_bytes(data, flat)).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "key", "n_removed", "n_spans", "kept"])
+            rows.append((key, sum(flat[1::2]) - sum(flat[::2]), len(flat) // 2, hashlib.sha256(kept_bytes(data, flat)).hexdigest()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["key", "n_removed", "n_spans", "kept"])
 
-    changed = map_arrow(texts, run, "id long, key binary, n_removed long, n_spans long, kept string").select("key", "n_removed", "n_spans", "kept").dropDuplicates(["key"])
+    changed = map_arrow(texts, run, "key binary, n_removed long, n_spans long, kept string")
     whole = copies.select("sha", F.lit(True).alias("whole"))
     out = rows.withColumn("key", key).join(whole, "sha", "left").join(changed, "key", "left")
     return out.select(
