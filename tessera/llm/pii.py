@@ -11,7 +11,8 @@ fragment of it stay beside it, and masking takes the union.
 
 All scans are linear: an e-mail is looked for around each '@', digits in maximal runs.
 
-Defined results: null text is the empty text, without spans. Positions are code points, end exclusive.
+Defined results: null text is the empty text, without spans. Positions are code points, end exclusive. Every row is judged on its own,
+so repeated rows get equal results. Spans that start together are in the order of their ends. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -256,10 +257,13 @@ def find(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, i
     base = identifiers(text)
     added: list[list[tuple[int, int]]] = [[], [], [], []]
     if got := normalise(text):
+        starts = [[x for x, _ in own] for own in base]
         for k, spans in enumerate(identifiers(got.text)):
             for s, e in spans if k else addresses(got) if "@" in got.text else ():
                 a, b = got.stretch(s)[0], got.stretch(e - 1)[1]
-                if not any(x <= a and b <= y for x, y in base[k]):
+                # base spans of a kind don't overlap, so only the last that starts by then can cover it
+                i = bisect_right(starts[k], a) - 1
+                if i < 0 or b > base[k][i][1]:
                     added[k].append((a, b))
     return base, added
 
