@@ -383,6 +383,8 @@ def test_histogram(case, spark):
     tok = Tokenizer.from_file(packing.DEFAULT_VOCABULARY)
     n = [len(tok.encode(t or "", add_special_tokens=False).ids) for _, t, _ in rows]
     want = [(x, n.count(x), x * n.count(x), sum(y >= x for y in n), sum(y for y in n if y >= x), sum(y <= x for y in n), sum(y for y in n if y <= x), sum(min(x, y) for y in n), sum(max(0, y - x) for y in n)) for x in set(n)]
+    below = {x: [y for y in n if y < x] for x in set(n)}
+    want = [(*w, max([-1, *below[w[0]]]) + 1, sum(below[w[0]]), len(below[w[0]]) / len(n), w[5] / len(n)) for w in want]
     h = lengths.histogram(lengths.encoded_lengths(df))
     assert collect(h) == sorted(want, key=repr)
     if n:
@@ -411,6 +413,20 @@ def test_suffixes(case):
     assert collect(suffixes.suffix_dedup(df)) == brute_suffixes(rows)
 
 
+def test_suffixes_repeated_ids(spark):
+    """One id on several texts, and no id: copies are taken out by row."""
+    import random
+
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, shared = text(400), text(300)
+    b, c, d = text(200) + shared + text(50), text(90) + shared, shared[20:280] + text(100)
+    own = [(1, a, "en"), (2, a, "en"), (2, b, "en"), (3, c, "en"), (None, d, "en"), (None, a, "en"), (None, None, "en"), (2, b[:100], "en")]
+    got = collect(suffixes.suffix_dedup(table(spark, own)))
+    assert got == brute_suffixes(own)
+    assert [r[2] for r in got if r[0] == 3] == [300]
+
+
 def test_suffixes_hot(spark, rows, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 4)
     monkeypatch.setattr(suffixes, "BLOCK", 500)
@@ -453,6 +469,34 @@ def test_jaccard(case, n, sim):
         assert [r.component_id for r in got if r.doc_id is None] == [5]
 
 
+def test_jaccard_rows_and_parts(spark, monkeypatch):
+    """Rows that share an id, many small flushes and n-grams that are frequent within one."""
+    import random
+
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    monkeypatch.setattr(jaccard, "FLUSH", 700)
+    monkeypatch.setattr(jaccard, "PART", 50)
+    rng = random.Random(7)
+    line = " ".join(f"l{i}" for i in range(30))
+    bases = [[f"{g}w{i}" for i in range(rng.choice((8, 40, 90)))] for g in range(8)]
+    own = []
+    for i in range(90):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        own.append((i, " ".join(w) + (" " + line if i % 2 else ""), "en"))
+    own += [(100, own[0][1], "en"), (101, "", "en"), (102, own[5][1].upper(), "en")]
+    for n, sim in ((3, 90), (5, 80)):
+        sets, comp = brute_jaccard(own, n, sim)
+        got = {r.doc_id: r for r in jaccard.jaccard_join(table(spark, own), n, sim).collect()}
+        assert {i: r.component_id for i, r in got.items()} == comp
+        assert {i: r.n_links for i, r in got.items()} == {i: sum(bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= sim * len(sets[i] | sets[j]) for j in sets if j != i) for i in sets}
+    # two texts under one id are two documents: each has the component of its own text
+    twice = [(7, own[0][1], "en"), (7, own[1][1], "en"), (3, own[1][1], "en"), (9, own[0][1], "en")]
+    got = collect(jaccard.jaccard_join(table(spark, twice)).select("doc_id", "component_id", "n_links"))
+    assert got == [(3, 3, 1), (7, 3, 1), (7, 7, 1), (9, 7, 1)]
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     """A component larger than a block: every two blocks meet."""
     import random
@@ -508,9 +552,13 @@ def test_word_encoder_random():
     import random
 
     rng, tok, e = random.Random(6), Tokenizer.from_file(packing.DEFAULT_VOCABULARY), packing.word_encoder()
-    for _ in range(1500):
-        t = "".join(rng.choice("abE Q\n\t 's ñÉß12,.!-  中文́  Σσ'LL'é") for _ in range(rng.randint(0, 40)))
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    plain = list("abE Q\n\t 's ñÉß12,.!-  中文́  Σσ'LL'é")
+    # letters that composition, lower-casing or special tokens treat in their own way
+    marks = [*"HJWKİſ\xff\xf7\xd7ªºĐ²½\u212b\u212a\x00\x1f\x7f\x85\xa0\u2028,. ", "\u0331", "\u030c", "\u030a", "\u0307", "\u0338", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "ﬁ", "Ǆ", "가", " word, ", "The ", "don't", "we'LL "]
+    for alphabet, n in ((plain, 1500), (plain + marks, 8000)):
+        for _ in range(n):
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+            assert np.frombuffer(e.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_plan_is_exact():
@@ -540,10 +588,12 @@ def test_plan_covers_many_lengths():
     rng = random.Random(12)
     demand = dict(Counter(min(4096, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(12_000)))
     assert len(demand) > 1500
-    whole = sum(sum(p) * int(x + 1e-9) for p, x in packing.configuration_lp(demand, 4096))
+    program = packing.configuration_lp(demand, 4096)
+    assert 0 <= program.gap <= packing.GAP
+    whole = sum(sum(p) * int(x + 1e-9) for p, x in program.patterns)
     assert whole > 0.7 * sum(x * n for x, n in demand.items())
     used = Counter()
-    for p, x in packing.configuration_lp(demand, 4096, 3):
+    for p, x in packing.configuration_lp(demand, 4096, 3).patterns:
         assert sum(p) <= 4096 and x > 0
         for length in p:
             used[length] += x
@@ -551,6 +601,24 @@ def test_plan_covers_many_lengths():
     assert sum(n for _, n in packing.plan(demand)) <= sum(n for _, n in packing.best_fit(demand, 4096))
 
 
+def test_program_beats_best_fit():
+    # the textbook case on which best fit takes 11/9 of the optimum
+    demand = {51: 6000, 27: 6000, 26: 6000, 23: 12000}
+    program = packing.configuration_lp(demand, 100)
+    assert program.gap < 1e-9 and round(program.value) == 9000
+    assert sum(n for _, n in packing.plan(demand, 100)) == 9000 < sum(n for _, n in packing.best_fit(demand, 100)) == 11000
+    # prices by size alone waste room here: the second pass is needed
+    for demand in ({2500: 1000, 1000: 1000}, {3000: 500, 1500: 700, 900: 300, 60: 2000}):
+        program = packing.configuration_lp(demand, 4096)
+        assert 0 <= program.gap <= 0.011, program.gap
+        got = Counter()
+        for p, x in program.patterns:
+            assert sum(p) <= 4096
+            for length in p:
+                got[length] += x
+        assert all(got[x] >= n * 0.9 for x, n in demand.items())
+
+
 def test_pricing_is_best():
     value = np.full(31, -1.0)
     value[[4, 7, 9]] = [5.0, 9.5, 12.1]
