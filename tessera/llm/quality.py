@@ -9,7 +9,8 @@ Base rules come first: a text of fewer than 50 words, or with more than half of
 windows, fails.
 
 Defined results: null and empty texts have no words, fail the base and aren't kept. A null or unknown language takes
-the bands of the script that most letters belong to.
+the bands of the script that most letters belong to (latin before cyrillic before other where they tie). Values at the end of a band are
+inside. Every row is judged on its own, so repeated rows get equal results. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,15 +47,18 @@ class Band:
     entropy: float
 
 
-#: By language, then by script for other languages.
+#: By language, then by script for other languages. The lower bounds of chars_per_byte_token, which reject most of what is
+#: rejected, are 0.9 times the 0.5 % quantile over the documents of quality 1 (en 2,076, de 507, fr 505, es 321 labelled ones,
+#: base rules passed): 2.112, 2.184, 1.890 and 1.934. The other bounds are wide: none of these documents comes near them.
+#: Scripts are not in that sample; their bounds only reject what no prose has, and a script that the pieces lack is all bytes.
 BANDS: dict[str, Band] = {
-    "en": Band((1.5, 8.0), (1.85, 9.0), 0.10, 0.35),
-    "de": Band((1.4, 8.0), (1.95, 9.0), 0.10, 0.35),
+    "en": Band((1.5, 8.0), (1.90, 9.0), 0.10, 0.35),
+    "de": Band((1.4, 8.0), (1.97, 9.0), 0.10, 0.35),
     "fr": Band((1.3, 8.0), (1.70, 9.0), 0.10, 0.35),
-    "es": Band((1.4, 8.0), (1.80, 9.0), 0.10, 0.35),
+    "es": Band((1.4, 8.0), (1.74, 9.0), 0.10, 0.35),
     "latin": Band((1.2, 9.0), (1.2, 10.0), 0.20, 0.30),
     "cyrillic": Band((0.8, 8.0), (0.8, 9.0), 0.30, 0.30),
-    "other": Band((0.25, 8.0), (0.25, 9.0), 0.95, 0.25),
+    "other": Band((0.25, 8.0), (0.25, 9.0), 1.00, 0.25),
 }
 
 
