@@ -81,6 +81,30 @@ def test_quality_measures(spark, rows):
         assert not (got[i].kept and got[i].base_failed)
 
 
+def test_quality_kept(case):
+    """kept from the measures by the two libraries alone."""
+    import sentencepiece
+
+    df, rows = case
+    sp = sentencepiece.SentencePieceProcessor(model_file=quality.PIECES)
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(quality.RANKS), special_tokens={})
+    got = sorted(quality.fertility_quality(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_words))
+    for r, (i, t, g) in zip(got, sorted(rows, key=lambda x: (x[0] is None, x[0], len(words(x[1])))), strict=True):
+        own = words(t)
+        assert r.doc_id == i and r.n_words == len(own)
+        if r.base_failed or not own:
+            assert not r.kept
+            continue
+        pieces = [p for w in own for p in sp.encode(w)]
+        tokens = sum(len(enc.encode_ordinary(" " + w)) for w in own)
+        chars = sum(map(len, own))
+        share = sum(map(sp.is_byte, pieces)) / len(pieces)
+        entropy = -sum(n / len(pieces) * math.log2(n / len(pieces)) for n in Counter(pieces).values()) / math.log2(min(len(pieces), sp.get_piece_size()))
+        band = quality.BANDS.get(g) or quality.BANDS[quality.script(t)]
+        a, b = band.chars_per_piece, band.chars_per_byte_token
+        assert r.kept == (a[0] <= chars / len(pieces) <= a[1] and b[0] <= chars / tokens <= b[1] and share <= band.byte_share and entropy >= band.entropy), i
+
+
 def test_quality_bands(spark):
     prose = ("Wir gehen heute gemeinsam in den Wald und suchen nach den letzten Pilzen des Jahres, bevor der erste Schnee fällt. " * 1).split()
     text = " ".join(f"{w}{i}" if i % 9 == 0 else w for i, w in enumerate(prose * 4))
