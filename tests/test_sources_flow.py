@@ -225,6 +225,77 @@ def test_rule_fed_by_itself(spark):
         g.run()
 
 
+def test_changes_from_bodies(spark):
+    """Bodies replace, remove and add tasks while others run or wait."""
+    ran, heard = [], []
+    f = Flow(spark, MemoryStore(spark), stamp=lambda _: "s")
+    f.subscribe(lambda kind, id, task: heard.append((kind, id, task)))
+    art = lambda id: Artifact(id, lambda: "s")
+
+    def note(name):
+        return lambda ctx: ran.append(name)
+
+    def swap(ctx):
+        f.add(Task("swapped", (), (art("y"),), note("new")))
+        assert ctx.signal.wait(5) and ctx.cancelled  # it replaces itself, too
+        ran.append("old")
+
+    def both(ctx):
+        f.add(Task("swapped", (), (art("x"),), note("first")))
+        swap(ctx)
+
+    f.add(Task("swapped", (), (art("x"),), both))
+    f.add(Task("gone", (), (art("z"),), lambda ctx: (f.remove("gone"), ran.append("gone"))))
+    # "reader" waits for "first"; that adds a producer of what the reader reads
+    f.add(Task("first", (), (art("a"),), lambda ctx: f.add(Task("late", (art("a"),), (art("dir/1"),), note("late")))))
+    f.add(Task("reader", (art("a"), Prefix("dir/", lambda: "s")), (art("b"),), note("reader")))
+    r = f.run()
+    assert ran.index("late") < ran.index("reader")
+    assert ran.index("old") < ran.index("new") and "first" not in ran
+    kinds = {(o.task_id, o.type, o.reason) for o in r.outcomes}
+    assert ("gone", "cancelled", "removed") in kinds and ("swapped", "cancelled", "replaced") in kinds
+    assert [o.type for o in r.outcomes if o.task_id == "swapped" and o.type != "cancelled"] == ["executed"]
+    assert heard[-1][0] != "withdrawn" and "z" not in f.on_disk and ("produced", "z", "gone") not in heard
+    assert {x.task_id for x in f.store.read().collect()} == {"swapped", "first", "late", "reader"}
+
+
+def test_events_in_order_and_limit(spark):
+    f, first, second = Flow(spark, send_limit=5), [], []
+
+    def chain(kind, id, task):
+        first.append((kind, id))
+        if kind == "promised" and id == "a":
+            f.add(Task("next", (), (Artifact("b"),)))
+
+    f.subscribe(chain)
+    f.subscribe(lambda kind, id, task: second.append((kind, id)))
+    f.add(Task("one", (), (Artifact("a"),)))
+    assert first == second == [("promised", "a"), ("promised", "b")]
+    # a declaration of many outputs is no endless chain
+    f.set_groups({"many": [Task(f"t{i}", (), (Artifact(f"o{i}"),)) for i in range(50)]})
+    assert f.run().success and len(second) == 2 + 50 + 52
+
+    g = Flow(spark, send_limit=5)
+    g.subscribe(lambda kind, id, task: g.add(Task(id + "x", (), (Artifact(id + "x"),))))
+    with pytest.raises(SendLimitError):
+        g.add(Task("a", (), (Artifact("a"),)))
+
+
+def test_records_survive_an_error(spark):
+    store = MemoryStore(spark)
+    f = Flow(spark, store)
+    f.add(Task("a", (Artifact("i", lambda: "1"),), (Artifact("o", lambda: "2"),)))
+
+    def listener(kind, id, task):
+        if kind == "produced":
+            raise ValueError("listener")
+
+    f.subscribe(listener)
+    with pytest.raises(ValueError):
+        f.run()
+    assert {x.task_id for x in store.read().collect()} == {"a"}
+
+
 def test_many_tasks_are_quick(spark):
     import time
 
