@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, cut, map_arrow
+from .common import cut, map_arrow
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
@@ -50,6 +50,8 @@ ROUNDS, STEP = 400, 0.1
 NEAR_BEST = 0.98
 #: Share of the tokens that the first pass leaves to best fit, where few lengths with pieces left make rounds short.
 REST = 0.1
+#: Chunks that a worker keeps; when there are so many they are forgotten, which only costs time.
+WORDS = 300_000
 #: Pieces numbered by one task.
 NUMBERED = 200_000
 
@@ -87,7 +89,7 @@ class _Known(dict):
                 ids = array("I", [t.id for t in self.tokenize(chunk if plain else chunk.translate(self.spelt))]).tobytes()
         else:
             ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(chunk) < 64 and len(self) < 2 * CACHE_ENTRIES:
+        if len(chunk) < 64 and len(self) < WORDS:
             self[chunk] = ids
         return ids
 
@@ -110,7 +112,7 @@ class WordEncoder:
         data = text.encode("utf-8", "replace")
         fold = b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data
         known = self.known
-        if len(known) > CACHE_ENTRIES:
+        if len(known) >= WORDS:
             known.clear()
             known[""] = b""
         return b"".join(map(known.__getitem__, data.translate(self.FOLD if fold else self.LINES).decode().split(" ")))
