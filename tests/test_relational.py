@@ -44,24 +44,25 @@ def run(spark, relations, required=None):
     return sorted((tuple(r[v] for v in names) + tuple(r[f"{n}_data"] is not None for n, _, _ in relations) for r in df.collect()), key=repr)
 
 
-PAGE = ("page", ("lang", "slug"), [("en", "a"), ("en", "b"), ("fr", "a"), ("fr", "b")])
+CROP = ("crop", ("farm", "plot"), [("n", "1"), ("n", "2"), ("n", "3"), ("s", "1"), ("w", "9")])
+PLOTS = ("crop", ("plot",), [("1",), ("2",), ("3",)])
 CASES = {
-    "natural": ([PAGE, ("template", ("lang",), [("en",), ("fr",)])], None, 4),
-    "no partner": ([("page", ("lang", "slug"), [("en", "a"), ("de", "a")]), ("template", ("lang",), [("en",)])], None, 1),
-    "three": ([("page", ("lang", "slug"), [("en", "a"), ("en", "b"), ("fr", "a")]), ("template", ("lang",), [("en",), ("fr",)]), ("review", ("lang", "slug"), [("en", "a"), ("fr", "a")])], None, 2),
-    "cross": ([("page", ("slug",), [("a",), ("b",)]), ("template", ("lang",), [("en",), ("fr",)])], None, 4),
-    "through a third": ([("template", ("lang",), [("en",)]), ("author", ("slug",), [("a",)]), ("page", ("lang", "slug"), [("en", "a")])], None, 1),
-    "chain": ([("a", ("x",), [("1",)]), ("b", ("x", "y"), [("1", "p"), ("1", "q")]), ("c", ("y",), [("p",), ("q",)])], None, 2),
-    "no variables": ([PAGE, ("plan", (), [()])], None, 4),
-    "no variables, no row": ([PAGE, ("plan", (), [])], None, 0),
-    "fan-out": ([PAGE, ("review", ("lang", "slug", "by"), [("en", "a", "ann"), ("en", "a", "bob")])], ["page"], 5),
-    "independent": ([("page", ("slug",), [("a",)]), ("review", ("slug", "by"), [("a", "ann"), ("a", "bob")]), ("comment", ("slug", "who"), [("a", "cy"), ("a", "di")])], ["page"], 4),
-    "null in ON": ([("page", ("slug",), [("a",), ("b",)]), ("comment", ("slug", "author"), [("a", "ann")]), ("info", ("author",), [("ann",), ("bob",)])], ["page"], 2),
-    "on true": ([("page", ("slug",), [("a",), ("b",)]), ("tag", ("t",), [("x",), ("y",)])], ["page"], 4),
-    "on true, none": ([("page", ("slug",), [("a",), ("b",)]), ("tag", ("t",), [])], ["page"], 2),
-    "required later": ([("review", ("slug", "by"), [("a", "ann")]), ("page", ("slug",), [("a",), ("b",)])], ["page"], 2),
-    "order 1": ([("page", ("p",), [("a",)]), ("review", ("p", "by"), [("a", "ann")]), ("rating", ("p", "by"), [("a", "bob")])], ["page"], 1),
-    "order 2": ([("page", ("p",), [("a",)]), ("rating", ("p", "by"), [("a", "bob")]), ("review", ("p", "by"), [("a", "ann")])], ["page"], 1),
+    "shared variable": ([CROP, ("soil", ("farm",), [("n",), ("s",), ("e",)])], None, 4),
+    "nothing fits": ([("crop", ("farm",), [("w",)]), ("soil", ("farm",), [("e",), ("s",)])], None, 0),
+    "three relations": ([CROP, ("soil", ("farm",), [("n",), ("s",)]), ("harvest", ("farm", "plot"), [("n", "2"), ("s", "1"), ("s", "5"), ("w", "9")])], None, 2),
+    "product": ([("tool", ("t",), [("hoe",), ("rake",), ("saw",)]), ("year", ("y",), [("1",), ("2",)])], None, 6),
+    "keys through a third": ([("soil", ("farm",), [("n",), ("s",)]), ("seed", ("plot",), [("1",), ("2",)]), ("crop", ("farm", "plot"), [("n", "1"), ("s", "2"), ("s", "3")])], None, 2),
+    "chain": ([("river", ("x",), [("1",), ("2",)]), ("reach", ("x", "y"), [("1", "p"), ("2", "p"), ("2", "q"), ("3", "p")]), ("gauge", ("y",), [("p",)])], None, 2),
+    "no variables": ([CROP, ("law", (), [()])], None, 5),
+    "no variables, no row": ([CROP, ("law", (), [])], None, 0),
+    "fan-out": ([CROP, ("note", ("farm", "plot", "who"), [("n", "1", "k"), ("n", "1", "l"), ("n", "1", "m"), ("s", "1", "k"), ("s", "2", "k")])], ["crop"], 7),
+    "independent": ([PLOTS, ("note", ("plot", "who"), [("1", "k"), ("1", "l"), ("1", "m")]), ("photo", ("plot", "no"), [("1", "x"), ("1", "y"), ("3", "z")])], ["crop"], 8),
+    "null in ON": ([PLOTS, ("owner", ("plot", "name"), [("2", "ida")]), ("phone", ("name",), [("ida",), ("ole",)])], ["crop"], 3),
+    "on true": ([PLOTS, ("tag", ("t",), [("x",), ("y",)])], ["crop"], 6),
+    "on true, none": ([PLOTS, ("tag", ("t",), [])], ["crop"], 3),
+    "required later": ([("note", ("plot", "who"), [("1", "k"), ("2", "l"), ("4", "k")]), PLOTS], ["crop"], 3),
+    "order 1": ([PLOTS, ("note", ("plot", "who"), [("1", "k"), ("2", "k")]), ("price", ("plot", "who"), [("1", "m"), ("3", "m")])], ["crop"], 3),
+    "order 2": ([PLOTS, ("price", ("plot", "who"), [("1", "m"), ("3", "m")]), ("note", ("plot", "who"), [("1", "k"), ("2", "k")])], ["crop"], 3),
 }
 
 

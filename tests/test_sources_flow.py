@@ -18,37 +18,37 @@ from tessera.streaming.events import EVENTS, Refresh, existence_stream, refresh_
 
 @pytest.fixture
 def tree(tmp_path):
-    for name in ("site/en/a.html", "site/en/blog/b.html", "site/en/blog/deep/c.html", "site/fr/index.html", "site/notes.txt", "site/en/readme.txt", "site/en/.hidden.html", "site/en/_u.html"):
+    for name in ("atlas/en/a.svg", "atlas/en/coast/b.svg", "atlas/en/coast/inner/c.svg", "atlas/fr/cover.svg", "atlas/legend.txt", "atlas/en/about.txt", "atlas/en/.hidden.svg", "atlas/en/_u.svg"):
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(name)
-    os.symlink(tmp_path / "site", tmp_path / "site/en/loop")
-    os.symlink(tmp_path / "missing", tmp_path / "site/broken")
+    os.symlink(tmp_path / "atlas", tmp_path / "atlas/en/loop")
+    os.symlink(tmp_path / "missing", tmp_path / "atlas/broken")
     return str(tmp_path)
 
 
 def test_listing(spark, tree):
     got = {r.relative: r for r in R.listing(spark, tree, stamp="hash").collect()}
-    assert {k for k in got if "loop" not in k} == {"site/en/a.html", "site/en/blog/b.html", "site/en/blog/deep/c.html", "site/fr/index.html", "site/notes.txt", "site/en/readme.txt", "site/en/.hidden.html", "site/en/_u.html"}
-    assert got["site/notes.txt"].stamp == hashlib.sha256(b"site/notes.txt").hexdigest()
-    st = os.stat(f"{tree}/site/notes.txt")
+    assert {k for k in got if "loop" not in k} == {"atlas/en/a.svg", "atlas/en/coast/b.svg", "atlas/en/coast/inner/c.svg", "atlas/fr/cover.svg", "atlas/legend.txt", "atlas/en/about.txt", "atlas/en/.hidden.svg", "atlas/en/_u.svg"}
+    assert got["atlas/legend.txt"].stamp == hashlib.sha256(b"atlas/legend.txt").hexdigest()
+    st = os.stat(f"{tree}/atlas/legend.txt")
     times = {r.relative: r.stamp for r in R.listing(spark, tree, stamp="time").collect()}
-    assert times["site/notes.txt"] == f"{st.st_mtime_ns}:{st.st_size}" == stamp_of(f"{tree}/site/notes.txt", "time")
+    assert times["atlas/legend.txt"] == f"{st.st_mtime_ns}:{st.st_size}" == stamp_of(f"{tree}/atlas/legend.txt", "time")
     assert R.listing(spark, f"{tree}/nothing").count() == 0
     assert stamp_of(f"{tree}/nothing", "hash") is None
     with pytest.raises(ValueError):
-        stamp_of(f"{tree}/site", "hash")
+        stamp_of(f"{tree}/atlas", "hash")
     with pytest.raises(ValueError):
-        stamp_of(f"{tree}/site/notes.txt", "other")
+        stamp_of(f"{tree}/atlas/legend.txt", "other")
 
 
 def test_file_relations(spark, tree):
-    f = R.file_relation(spark, "pages", FilePattern("site/<lang>/<slug>.html", tree))
-    assert sorted((r.lang, r.slug) for r in f.df.collect()) == [("en", ".hidden"), ("en", "_u"), ("en", "a"), ("fr", "index")]
-    g = R.group_relation(spark, "all", FilePattern("site/<lang>/blog/**/*.html", tree))
+    f = R.file_relation(spark, "pages", FilePattern("atlas/<lang>/<slug>.svg", tree))
+    assert sorted((r.lang, r.slug) for r in f.df.collect()) == [("en", ".hidden"), ("en", "_u"), ("en", "a"), ("fr", "cover")]
+    g = R.group_relation(spark, "all", FilePattern("atlas/<lang>/coast/**/*.svg", tree))
     rows = g.df.collect()
     assert [r.lang for r in rows] == ["en"]
-    assert [x.id for x in rows[0].data] == [f"file:{tree}/site/en/blog/b.html", f"file:{tree}/site/en/blog/deep/c.html"]
+    assert [x.id for x in rows[0].data] == [f"file:{tree}/atlas/en/coast/b.svg", f"file:{tree}/atlas/en/coast/inner/c.svg"]
 
 
 def test_objects(spark):
@@ -192,9 +192,9 @@ def test_rule_and_discovery(spark):
 
     def page(ctx, values, data):
         made.append((values["slug"], [x["id"] for x in data["text"]]))
-        w.values[f"html/{values['slug']}"] = "done"
+        w.values[f"svg/{values['slug']}"] = "done"
 
-    f.each(Rule({"text": ids_relation(spark, "text", KeyPattern("text/<slug>"))}, "page", page, outputs={"html": KeyPattern("html/<slug>")}))
+    f.each(Rule({"text": ids_relation(spark, "text", KeyPattern("text/<slug>"))}, "page", page, outputs={"svg": KeyPattern("svg/<slug>")}))
     f.add(w.task("split", [], ["text/"], reports=["text/1", "text/2"]))
     r = f.run()
     assert sorted(made) == [("1", ["text/1"]), ("2", ["text/2"])]
