@@ -5,7 +5,9 @@ once: with its best row and the number of rows. Runs meet in binomial rounds, as
 round r a run is known by r*b bits of its origin less and r*b leading bits of the digest more, so that 2^b runs are
 merged into each new one (multiway), the work of a round is spread over all runs, and after the last round one
 run holds all that is known of its range of digests. A merge retains the best row and adds the counts;
-it merges entries only if the whole digest, the normalised length and a second, independent hash agree.
+it merges entries only if the whole digest, the normalised length and a second, independent hash agree. A run is the rows of one
+(node, origin): Spark sorts them by digest within a task and merges neighbours in a sort aggregate, so several tasks may
+share a run; as a digest goes to one of them, the result is that of one merge.
 
 The answer goes back down the same tree: an entry that won tells its 2^b sources. A group of equal texts
 therefore never meets in one task; a task sees it once per run it merges.
