@@ -1,15 +1,18 @@
 """Secret scanning with a worklist that unwraps nested encodings.
 
 A text is scanned for the base kinds. Then every encoded stretch in it (percent escapes, Unicode and
-character escapes, base64, and zlib/gzip data inside base64) is decoded into a new layer, whose every
-character knows the stretch of the source it came from. Layers go through a worklist until nothing new comes, however deep they are
+character escapes, base64, and zlib, gzip or raw deflate data inside base64) is decoded into a new layer, whose every
+character knows the stretch of the source it came from. Bytes that aren't UTF-8 are read as Latin-1, a character each; layers in which nothing
+can be found or decoded are left out. Layers go through a worklist until nothing new comes, however deep they are
 nested; a layer whose text was seen before at its place isn't visited again (cycle detection). Each decoding step makes a
 layer shorter than the stretch it came from, except for decompression. That is streamed, all members of it: a
 decompressed text is read in segments, cut where nothing that is looked for can cross, and the worklist is
 a stack of unfinished readings, so that one segment of each depth is held at a time. Spans found in a layer are mapped back to the source and
-added unless a span of the same kind already overlaps them; base spans always stay.
+added unless one span of the same kind already covers them whole; base spans always stay, also those that are a fragment of an added one.
+What comes out of compressed data has the whole stretch of that data as its place.
 
-Defined results: null text is the empty text and has no spans. Positions are code points, end exclusive.
+Defined results: null text is the empty text and has no spans. Positions are code points, end exclusive. Every row is judged on its own,
+so repeated rows get equal results. Spans that start together are in the order of their kinds, then of their ends. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -142,9 +145,30 @@ def _escape(m: re.Match[str]):
     return out
 
 
+#: What the bytes of a layer must hold so that something can be found or decoded in it.
+_WORTH = re.compile(rb"passw|secret|token|api_?key|AKIA|[0-9a-f]{16}|%[0-9a-f]{2}|\\[ux]|&#|[a-z0-9+/_-]{16}", re.I)
+
+
 def _bits(data: bytes) -> int:
     """zlib's window bits for data that starts like a gzip or zlib member; else 0."""
-    return 31 if data[:2] == b"\x1f\x8b" else 15 if data[:2] in (b"x\x01", b"x\x5e", b"x\x9c", b"x\xda") else 0
+    if data[:2] == b"\x1f\x8b":
+        return 31
+    # the header of RFC 1950: method 8, a window of at most 32 kB, no preset dictionary, a multiple of 31
+    return 15 if len(data) > 1 and data[0] & 0x8F == 8 and not data[1] & 32 and int.from_bytes(data[:2]) % 31 == 0 else 0
+
+
+def _inflate_raw(data: bytes) -> Iterator[bytes]:
+    """What deflate data without a header holds, in chunks. Raises zlib.error unless it ends with the data."""
+    d, rest = zlib.decompressobj(-15), data
+    while not d.eof:
+        out = d.decompress(rest, CHUNK)
+        rest = d.unconsumed_tail
+        if out:
+            yield out
+        elif not rest:
+            raise zlib.error("cut off")
+    if d.unused_data:
+        raise zlib.error("ends before the data")
 
 
 def _inflate(chunks: Iterable[bytes], left: list[int] | None = None) -> Iterator[bytes]:
@@ -183,38 +207,31 @@ def _inflate(chunks: Iterable[bytes], left: list[int] | None = None) -> Iterator
                 full, rest = len(out) == CHUNK, d.unconsumed_tail
 
 
-def _check(chunks: Iterable[bytes]) -> tuple[bytes, bytes, bool] | None:
-    """Of a stream: its first bytes, its digest, and whether it is text; None if it is empty or broken."""
+def _check(chunks: Iterable[bytes]) -> tuple[bytes, bytes, str] | None:
+    """Of a stream: its first bytes, its digest, and its encoding; None if it is empty or broken."""
     h, head = hashlib.blake2b(digest_size=16), b""
     dec = codecs.getincrementaldecoder("utf-8")()
-    good = total = 0
-    text = True
+    encoding = "utf-8"
     try:
         for chunk in chunks:
             h.update(chunk)
-            head = head or chunk[:2]
             if len(head) < 2:
                 head = (head + chunk)[:2]
-            if text:
+            if encoding == "utf-8":
                 try:
-                    s = dec.decode(chunk)
+                    dec.decode(chunk)
                 except UnicodeDecodeError:
-                    text = False
-                    continue
-                total += len(s)
-                good += _n_printable(s)
+                    encoding = "latin-1"
     except zlib.error:
         return None
-    try:
-        dec.decode(b"", True)
-    except UnicodeDecodeError:
-        text = False
-    return (head, h.digest(), text and good >= 0.95 * total) if head else None
+    if encoding == "utf-8" and dec.getstate()[0]:
+        encoding = "latin-1"
+    return (head, h.digest(), encoding) if head else None
 
 
-def _segments(chunks: Iterable[bytes]) -> Iterator[str]:
+def _segments(chunks: Iterable[bytes], encoding: str) -> Iterator[str]:
     """A stream of text in segments."""
-    dec = codecs.getincrementaldecoder("utf-8")()
+    dec = codecs.getincrementaldecoder(encoding)()
     parts: list[str] = []
     size, enough = 0, SEGMENT
     for chunk in chunks:
@@ -235,16 +252,13 @@ def _segments(chunks: Iterable[bytes]) -> Iterator[str]:
         yield text
 
 
-def _decompressed(data: bytes, s: int, e: int) -> Iterator[Layer]:
-    """Layers of compressed data, also compressed several times over; the source stretch is s..e, as there are no finer positions."""
-    chunks: Callable[[], Iterable[bytes]] = lambda: _inflate([data])
+def _decompressed(chunks: Callable[[], Iterable[bytes]], s: int, e: int) -> Iterator[Layer]:
+    """Layers of a decompressed stream, also if that is compressed again; the source stretch is s..e, as there are no finer positions."""
     seen: set[bytes] = set()
     while (got := _check(chunks())) and got[1] not in seen:
-        head, digest, text = got
+        head, digest, encoding = got
         seen.add(digest)
-        if text:
-            yield from (Layer(x, Same(s), Same(e)) for x in _segments(chunks()))
-            return
+        yield from (Layer(x, Same(s), Same(e)) for x in _segments(chunks(), encoding))
         if not _bits(head):
             return
         chunks = lambda below=chunks: _inflate(below())
@@ -254,39 +268,37 @@ def _n_printable(s: str) -> int:
     return len(s) if s.isprintable() else sum(c.isprintable() or c in "\t\r\n" for c in s)
 
 
-def _printable(data: bytes) -> str | None:
-    try:
-        s = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return s if s and _n_printable(s) >= 0.95 * len(s) else None
-
-
-def _base64(layer: Layer | None, text: str, a: int, b: int) -> Iterator[Layer]:
-    raw = re.sub(r"[\r\n=]", "", text[a:b]).replace("-", "+").replace("_", "/")
+def _base64(layer: Layer | None, text: str, a: int, b: int, members: bool = True) -> Iterator[Layer]:
+    """Layers of the base64 text a..b, which may be folded into lines; without those of zlib or gzip members if it is known where they end."""
+    raw = text[a:b]
+    places: list[int] | range = range(a, b)
+    if "\n" in raw or "\r" in raw:
+        places = [i for i in places if text[i] not in "\r\n"]
+        raw = re.sub(r"[\r\n]", "", raw)
+    raw = raw.rstrip("=").replace("-", "+").replace("_", "/")
     raw = raw[: len(raw) - (len(raw) % 4 == 1)]
     try:
         data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
     except (binascii.Error, ValueError):
         return
-    s, e = _stretch(layer, a, b)
-    if _bits(data):
-        yield from _decompressed(data, s, e)
-    got = _printable(data)
-    if got is None:
+    if members and _bits(data):
+        yield from _decompressed(lambda: _inflate([data]), *_stretch(layer, a, b))
+    try:
+        got: str | None = data.decode()
+    except UnicodeDecodeError:
+        got = None
+        yield from _decompressed(lambda: _inflate_raw(data), *_stretch(layer, a, b))
+    if not _WORTH.search(data):
         return
-    if not re.search(r"[\r\n]", text[a:b]):
-        at, to, k = [], [], 0
-        for c in got:
-            n = len(c.encode())
-            i, j = a + k * 4 // 3, min(b, a + -(-(k + n) * 4 // 3))
-            x, y = _stretch(layer, i, max(j, i + 1))
-            at.append(x)
-            to.append(y)
-            k += n
-        yield Layer(got, at, to)
-    else:
-        yield Layer(got, Same(s), Same(e))
+    at, to, k = [], [], 0
+    for c in data.decode("latin-1") if got is None else got:
+        n = 1 if got is None else len(c.encode())
+        # a byte is in two characters of base64, a character of text in those of all its bytes
+        x, y = _stretch(layer, places[k * 4 // 3], places[-(-(k + n) * 4 // 3) - 1] + 1)
+        at.append(x)
+        to.append(y)
+        k += n
+    yield Layer(data.decode("latin-1") if got is None else got, at, to)
 
 
 def _lines_decoded(text: str, lines: list[tuple[int, int]], i: int) -> Iterator[tuple[int, bytes]]:
@@ -343,22 +355,26 @@ def _last_line(text: str, lines: list[tuple[int, int]], i: int) -> int:
 
 
 def _unfolded(layer: Layer | None, text: str, a: int, b: int, done: list[tuple[int, int]]) -> Iterator[Layer]:
-    """Layers of the longest runs of lines in a..b that decode together; their stretches are appended to done. A line that
-    decodes with none of its neighbours is left over."""
+    """Layers of the longest runs of lines in a..b that decode together; their stretches are appended to done. Lines of one
+    length that don't decode to text are tried as one block of bytes, and stay to be decoded alone."""
     lines = [m.span() for m in re.compile(r"[^\r\n]+").finditer(text, a, b)]
-    i = 0
+    i = block = 0
     while i < len(lines):
         j = _last_line(text, lines, i)
-        for j in range(j, max(i, j - 3), -1):  # the characters left over at the end of a line may not decode
-            found = False
-            for got in _base64(layer, text, lines[i][0], lines[j][1]):
-                found = True
-                yield got
-            if found:
-                done.append((lines[i][0], lines[j][1]))
-                i = j
-                break
-        i += 1
+        if j > i:
+            yield from _base64(layer, text, lines[i][0], lines[j][1])
+            done.append((lines[i][0], lines[j][1]))
+        elif i >= block:
+            n, block = lines[i][1] - lines[i][0], i + 1
+            while n % 4 == 0 and block < len(lines) and lines[block][1] - lines[block][0] == n:
+                block += 1
+            if block > i + 1:
+                yield from _base64(layer, text, lines[i][0], lines[block - 1][1], False)
+            if n % 4 == 0 and block < len(lines) and lines[block][1] - lines[block][0] < n:
+                # the remainder of the block, or a word that follows it
+                block += 1
+                yield from _base64(layer, text, lines[i][0], lines[block - 1][1], False)
+        i = j + 1
 
 
 def _decoded(layer: Layer | None, text: str) -> Iterator[Layer]:
@@ -395,12 +411,14 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         work.append(_decoded(layer, layer.text))
     if not extra:
         return base, []
-    taken = [sorted((s, e) for s, k, e in base if k == kind) for kind in range(3)]
+    own = [[(s, e) for s, k, e in base if k == kind] for kind in range(3)]
+    reach = [0, 0, 0]  # how far the added spans of a kind go
     added = []
     for s, k, e in sorted(extra, key=lambda x: (x[0], x[1], -x[2])):
-        i = bisect_left(taken[k], (e,))
-        if not (i and taken[k][i - 1][1] > s):
-            taken[k].insert(i, (s, e))
+        # base spans of a kind don't overlap, so only the last that starts by then can cover it
+        i = bisect_left(own[k], (s + 1,))
+        if e > reach[k] and not (i and own[k][i - 1][1] >= e):
+            reach[k] = e
             added.append((s, k, e))
     return base, added
 
