@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.pattern import KeyPattern
+from ..functions.pattern import FilePattern, KeyPattern
 from ..operators import changes, deps, graph
 from ..operators.join import Relation, delta_sets, diff_sets, joined_sets
-from ..sources.relation import json_keys, key_relation, prefix_stamp, table_relation
+from ..sources.relation import changelog_relation, json_keys, key_relation, prefix_stamp, table_relation
 from . import skip
 from .rules import loop_rows, one_task_io
+from .state import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +75,20 @@ def pattern_repeat_var(spark, d):
     return KeyPattern("<l>/<n>.<l>.md").scan(read(spark, d, "documents").select("doc_id", key.alias("key")), "key").drop("key")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN lang || '/' || doc_id END AS below, '/site/' || lang || '/' || doc_id || '.html' AS page FROM documents")
+def path_relative_and_output(spark, d):
+    """Paths below a root, and an output rendered there; every third path lies in a folder whose name only starts like the root's."""
+    p = FilePattern("<lang>/<doc>.html", "/site", allow_globs=False)
+    path = F.concat(F.when(F.col("doc_id") % 3 > 0, "/site/").otherwise("/sites/"), F.col("lang"), F.lit("/"), s("doc_id"))
+    return read(spark, d, "documents").select("doc_id", p.relative(path).alias("below"), p.render({"lang": F.col("lang"), "doc": s("doc_id")}).alias("page"))
+
+
+@query("SELECT doc_id, 'lang' AS k, sha256(lang) AS stamp FROM documents UNION ALL SELECT doc_id, 'source', sha256(source) FROM documents")
+def json_stamp_map(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.to_json(F.struct("lang", "source")).alias("j"))
+    return docs.select("doc_id", F.explode(keys.json_key_stamps(F.col("j"))).alias("k", "stamp"))
+
+
 @query(f"WITH k AS (SELECT page_id, string_split({URLKEY}, '/') AS k FROM pages) SELECT page_id, k[3] AS slug FROM k WHERE len(k) = 3 AND ends_with(k[1], '.example.com')")
 def pattern_glob(spark, d):
     return KeyPattern("*.example.com/*/<slug>").scan(read(spark, d, "pages").select("page_id", urlkey().alias("key")), "key").drop("key")
@@ -403,6 +418,22 @@ def step_last_wins(spark, d):
     return changes.latest(read(spark, d, "events").select(F.to_date("ts").alias("step"), "user_id", "event_id", "event_type"), ["step", "user_id"], "event_id")
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS n FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 <> 0")
+def keyed_upsert_delete(spark, d):
+    """Every fifth key goes; every seventh, also of those that went, is found again with another value."""
+    table = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n"))
+    gone = table.where("c_custkey % 5 = 0").withColumns({"seq": F.lit(1).cast("long"), "op": F.lit("gone")})
+    found = table.where("c_custkey % 7 = 0").select("c_custkey", (F.col("n") + 1).alias("n"), F.lit(2).cast("long").alias("seq"), F.lit("found").alias("op"))
+    return upsert(table, gone.unionByName(found), ["c_custkey"])
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS u, 'event:' || max(event_id) AS id FROM events GROUP BY user_id HAVING max(event_id) % 3 <> 0")
+def changelog_match(spark, d):
+    entry = F.array(F.struct(_path("event:", s("event_id")).alias("id"), F.lit(None).cast("string").alias("stamp")))
+    log = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "gone").otherwise("found").alias("op"), s("user_id").alias("u"), entry.alias("data"))
+    return changelog_relation("events", log, ["u"]).df.select("u", F.col("data")[0]["id"].alias("id"))
+
+
 @query("SELECT event_id, user_id, min(event_id) OVER (PARTITION BY user_id) AS place FROM events")
 def stable_order(spark, d):
     return changes.first_place(read(spark, d, "events").select("event_id", "user_id"), ["user_id"], "event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,25 @@ from ..operators.join import Relation
 from .listing import ListingSource
 
 
-def listing(spark: SparkSession, root: str, start: str = "", stamp: str = "none") -> DataFrame:
+def listing(spark: SparkSession, root: str, start: str = "", stamp: str = "none", shape: list | None = None) -> DataFrame:
     spark.dataSource.register(ListingSource)
-    return spark.read.format("listing").option("path", root).option("start", start).option("stamp", stamp).load()
+    return spark.read.format("listing").option("path", root).option("start", start).option("stamp", stamp).option("shape", json.dumps(shape or [[]])).load()
+
+
+def _below_start(pattern: KeyPattern) -> list:
+    """The shape of a pattern's parts behind its literal start."""
+    shape = [[] if x.folders else x.literal for x in pattern.segments]
+    while len(shape) > 1 and isinstance(shape[0], str):
+        shape.pop(0)
+    return shape
+
+
+def _files(spark: SparkSession, p: FilePattern, stamp: str) -> DataFrame:
+    """Files that fit. Literal parts, also behind variables, are joined and not listed."""
+    start = p.key.static_prefix()
+    if all(x.literal is not None for x in p.key.segments):
+        start = "/".join(x.literal for x in p.key.segments[:-1])
+    return p.key.scan(listing(spark, p.root, start, stamp, _below_start(p.key)), "relative")
 
 
 def _entry(id: Column, stamp: Column) -> Column:
@@ -22,17 +40,16 @@ def _entry(id: Column, stamp: Column) -> Column:
 
 
 def file_relation(spark: SparkSession, name: str, pattern: FilePattern, stamp: str = "hash") -> Relation:
-    """A row per file that fits. The literal start of the pattern is all that is listed."""
+    """A row per file that fits."""
     p = pattern.for_files()
-    files = listing(spark, p.root, p.key.static_prefix(), stamp)
-    rows = p.key.scan(files, "relative")
+    rows = _files(spark, p, stamp)
     return Relation(name, rows.select(*p.var_names, _entry(F.concat(F.lit("file:"), F.col("path")), F.col("stamp"))), tuple(p.var_names))
 
 
 def group_relation(spark: SparkSession, name: str, pattern: FilePattern, stamp: str = "hash") -> Relation:
     """A row per binding of the variables, with the list of files in order of their paths."""
     p = pattern.for_groups()
-    files = p.key.scan(listing(spark, p.root, p.key.static_prefix(), stamp), "relative").withColumn("id", F.concat(F.lit("file:"), F.col("path")))
+    files = _files(spark, p, stamp).withColumn("id", F.concat(F.lit("file:"), F.col("path")))
     return Relation(name, group_lists(files, p.var_names), tuple(p.var_names))
 
 

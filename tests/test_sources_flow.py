@@ -51,6 +51,42 @@ def test_file_relations(spark, tree):
     assert [x.id for x in rows[0].data] == [f"file:{tree}/atlas/en/coast/b.svg", f"file:{tree}/atlas/en/coast/inner/c.svg"]
 
 
+def test_pruned_walk(spark, tree, monkeypatch):
+    from tessera.sources import listing
+
+    listed = []
+    names = os.listdir
+    monkeypatch.setattr(listing.os, "listdir", lambda p: listed.append(os.path.relpath(p, tree)) or names(p))
+    found = lambda shape: [os.path.relpath(p, tree) for p in listing.walk_shape(tree, shape)]
+    assert found(["atlas", None, "coast", None]) == ["atlas/en/coast/b.svg"] and set(listed) == {"atlas", "atlas/en/coast"}
+    assert found(["atlas", "fr", "cover.svg"]) == ["atlas/fr/cover.svg"] and found(["none", None]) == [] == found([])
+    assert found(["atlas", None, "coast", []]) == ["atlas/en/coast/b.svg", "atlas/en/coast/inner/c.svg"]
+    monkeypatch.undo()
+    for pattern, want in (("atlas/<l>/coast/<s>.svg", ["b"]), ("atlas/en/<s>.txt", ["about"]), ("atlas/<s>.txt", ["legend"]), ("<s>/legend.txt", ["atlas"]), ("<s>/<t>.txt", ["atlas"])):
+        assert sorted(r.s for r in R.file_relation(spark, "f", FilePattern(pattern, tree)).df.collect()) == want, pattern
+    assert R.file_relation(spark, "f", FilePattern("atlas/legend.txt", tree)).df.count() == 1
+    assert R.file_relation(spark, "f", FilePattern("atlas/none.txt", tree)).df.count() == 0
+
+
+def test_file_artifacts(tmp_path, monkeypatch):
+    from tessera.plans.flow import file_artifact
+    from tessera.sources import listing
+
+    p = tmp_path / "a"
+    p.write_bytes(b"1")
+    reads = []
+    real = listing.hash_file
+    monkeypatch.setattr(listing, "hash_file", lambda x: reads.append(x) or real(x))
+    fresh = file_artifact(str(p), listing.StampCache())
+    assert fresh.stamp() == fresh.stamp() == hashlib.sha256(b"1").hexdigest() and fresh.read() == b"1"
+    assert len(reads) == 2  # it was changed just now, so its hash isn't kept
+    kept = file_artifact(str(p), listing.StampCache(racy_ns=0))
+    assert kept.stamp() == kept.stamp() and len(reads) == 3
+    p.write_bytes(b"22")
+    assert kept.stamp() == hashlib.sha256(b"22").hexdigest() and len(reads) == 4
+    assert file_artifact(str(tmp_path / "b"), listing.StampCache()).stamp() is None
+
+
 def test_objects(spark):
     s3 = R.MemoryObjects()
     s3.put("b", "pages/a.md", b"1")
