@@ -104,28 +104,47 @@ def product(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
-def delta_sets(relations: list[Relation], changed: dict[str, DataFrame], required: list[str] | None = None) -> DataFrame:
-    """Keys of the joined sets that rows with these keys, before or after a change, can be part of.
+def _only(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of df that agree with some key on these columns; NULL agrees with nothing."""
+    k = keys.select(*(F.col(v).cast("string").alias(f"__{v}") for v in names)).distinct()
+    on: Column = F.lit(True)
+    for v in names:
+        on = on & (df[v].cast("string") == k[f"__{v}"])
+    return df.join(k, on, "left_semi")
+
+
+def touched_sets(relations: list[Relation], changed: dict[str, DataFrame], required: list[str] | None = None) -> DataFrame:
+    """The joined sets, with their data, that rows with these keys can be part of, before or after a change.
 
-    For a required relation the joined sets are restricted by a semi-join on its changed keys, so only they are
-    derived again; changes of optional relations touch the sets that agree on the variables bound before them."""
+    Whether a set is touched depends on its variables only, so the touched sets of the old and the new relations differ by just what
+    the change did. Required relations are restricted by a semi-join on the changed keys before the join: a changed required
+    one on its own variables, for a changed optional one all that have some of the variables it is joined on. An optional relation
+    that shares no variable, and any without variables, touches every set."""
     must, may = _split(relations, required)
     parts = []
-    for r in must:
-        if r.name in changed:
-            rows = [Relation(x.name, x.df.join(changed[r.name], list(r.vars), "left_semi") if x is r else x.df, x.vars) for x in relations]
-            parts.append(joined_sets(rows, required).select(*union_vars(relations)))
-    every = joined_sets(relations, required).select(*union_vars(relations))
-    for r in may:
-        if r.name in changed:
-            before = union_vars(must) + [v for x in may[: may.index(r)] for v in x.vars]
-            shared = [v for v in r.vars if v in before]
-            keys = changed[r.name].select(*shared).distinct() if shared else None
-            parts.append(every.join(keys, shared, "left_semi") if keys is not None else every)
+    for r in relations:
+        if r.name not in changed:
+            continue
+        bound = union_vars(must) + [v for x in may[: may.index(r)] for v in x.vars] if r in may else list(r.vars)
+        shared = [v for v in r.vars if v in bound]
+        if not shared:
+            return joined_sets(relations, required)
+        keys, rows = changed[r.name], []
+        for x in relations:
+            own = [v for v in x.vars if v in shared] if x in must else []
+            rows.append(Relation(x.name, _only(x.df, keys, own), x.vars) if own else x)
+        parts.append(_only(joined_sets(rows, required), keys, shared))
+    if not parts:
+        return joined_sets(relations, required).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.distinct()
+    return out.distinct() if len(parts) > 1 else out
+
+
+def delta_sets(relations: list[Relation], changed: dict[str, DataFrame], required: list[str] | None = None) -> DataFrame:
+    """Keys of the joined sets that rows with these keys, before or after a change, can be part of."""
+    return touched_sets(relations, changed, required).select(*union_vars(relations)).distinct()
 
 
 def diff_sets(old: DataFrame, new: DataFrame, keys: list[str], data: list[str]) -> DataFrame:

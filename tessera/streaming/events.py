@@ -17,7 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.changes import latest
 from ..operators.graph import cut
-from ..operators.join import Relation, diff_sets, joined_sets, union_vars
+from ..operators.join import Relation, diff_sets, joined_sets, touched_sets, union_vars
 from ..plans.state import upsert
 
 EVENTS = "seq long, kind string, path string, task string"
@@ -66,30 +66,35 @@ class Refresh:
     """Keeps joined sets up to date from changelogs of their relations.
 
     step() takes the changes of one micro-batch (relation name -> rows with seq, op, variables, data), applies the last one
-    per key and returns the sets that were added, removed or changed. A change that leaves a row with the same ids
+    per key and returns the sets that were added, removed or changed. Only sets that the changed keys touch are derived, once from the
+    tables before the step and once from those after it. A change that leaves a row with the same ids
     is no change. Rows wait in the tables without limit, so there is no watermark."""
 
     def __init__(self, relations: list[Relation], required: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = cut) -> None:
         self.relations = {r.name: r for r in relations}
         self.order = [r.name for r in relations]
         self.required, self.keep = required, keep
-        self.sets = keep(self._sets())
 
-    def _sets(self) -> DataFrame:
+    @property
+    def sets(self) -> DataFrame:
+        """All sets as they are now; a plan, not kept."""
         return joined_sets([self.relations[n] for n in self.order], self.required)
 
     def step(self, changes: dict[str, DataFrame]) -> DataFrame:
+        old = [self.relations[n] for n in self.order]
+        changed = {}
         for name, rows in changes.items():
             r = self.relations[name]
-            last = latest(rows, list(r.vars), "seq") if r.vars else rows.orderBy(F.desc("seq")).limit(1)
+            last = self.keep(latest(rows, list(r.vars), "seq") if r.vars else rows.orderBy(F.desc("seq")).limit(1))
+            changed[name] = last.select(*r.vars)
             table = upsert(r.df, last, list(r.vars)) if r.vars else last.where("op = 'found'").select(*r.df.columns)
             self.relations[name] = Relation(name, self.keep(table), r.vars)
-        names = union_vars([self.relations[n] for n in self.order])
-        new = self.keep(self._sets())
+        new = [self.relations[n] for n in self.order]
+        names = union_vars(new)
+        was, now = (touched_sets(x, changed, self.required) for x in (old, new))
         ids = lambda df: df.select(*names, *(F.transform(c, lambda x: x["id"]).alias(c) for c in df.columns if c not in names))
-        data = [c for c in new.columns if c not in names]
-        out = self.keep(diff_sets(ids(self.sets), ids(new), names, data).where("change <> 'same'"))
-        self.sets = new
+        data = [c for c in now.columns if c not in names]
+        out = self.keep(diff_sets(ids(was), ids(now), names, data).where("change <> 'same'"))
         # retractions first
         return out.withColumn("phase", F.when(F.col("change") == "removed", 0).otherwise(1))
 

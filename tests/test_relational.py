@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import changes, deps, graph
-from tessera.operators.join import Relation, RuleError, delta_sets, diff_sets, joined_sets, union_vars
+from tessera.operators.join import Relation, RuleError, delta_sets, diff_sets, joined_sets, touched_sets, union_vars
 from tessera.plans import skip
 from tessera.plans.rules import SendLimitError, loop_rows, one_task_io, task_id_clashes
 from tessera.plans.state import MemoryStore, SnapshotStore, StoreError, upsert
@@ -100,6 +100,33 @@ def test_delta_equals_recompute(spark):
         assert diff <= touched
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_touched_sets_hold_the_difference(spark, seed):
+    """Old and new touched sets differ by just what old and new sets differ by, whichever relations changed."""
+    rng = random.Random(seed)
+    shape = [("field", ("f", "row")), ("crop", ("f",)), ("note", ("row", "who")), ("phone", ("who",)), ("sign", ())]
+    draw = lambda v: sorted({tuple(rng.choice("pqr") for _ in v) for _ in range(rng.randint(1, 5))})
+    before = [(n, v, draw(v)) for n, v in shape]
+    moved = rng.sample([n for n, _ in shape[:4]], 2) + (["sign"] if seed == 3 else [])
+    after = [(n, v, (draw(v) if v else []) if n in moved else rows) for n, v, rows in before]
+    a, b = ([rel(spark, *r) for r in x] for x in (before, after))
+    keys = {}
+    for (n, v, old), (_, _, new) in zip(before, after, strict=True):
+        if n in moved:
+            keys[n] = spark.createDataFrame(sorted(set(old) ^ set(new)), ", ".join(f"{x} string" for x in v)) if v else spark.range(1).select()
+    names, required = union_vars(a), ["field", "crop"]
+    rows = lambda df: {tuple(r) for r in df.select(*names).collect()}
+    whole = [rows(joined_sets(x, required)) for x in (a, b)]
+    part = [rows(touched_sets(x, keys, required)) for x in (a, b)]
+    assert part[0] <= whole[0] and part[1] <= whole[1]
+    assert whole[0] - whole[1] == part[0] - part[1] and whole[1] - whole[0] == part[1] - part[0]
+
+
+def test_nothing_changed_touches_nothing(spark):
+    a = rel(spark, "a", ("x",), [("1",)])
+    assert touched_sets([a], {}).count() == 0 and delta_sets([a], {}).columns == ["x"]
+
+
 def test_relation_checks(spark):
     a = rel(spark, "a", ("x",), [("1",)])
     with pytest.raises(RuleError):
