@@ -57,6 +57,15 @@ def digest(lines: Column) -> Column:
     return F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(lines))), 256)
 
 
+def set_digest(lines: Column) -> Column:
+    """Aggregate: digest of the lines as a bag, whatever their order and number. Four 60-bit words of each line's hash are added
+    up, so a group never meets in one task or row: partial sums are combined before the shuffle. Stands for digest() where groups
+    are too large for one row; its value is another one. NULL lines don't count."""
+    hash = F.sha2(lines, 256)
+    words = [F.coalesce(F.sum(F.conv(F.substring(hash, 1 + 15 * i, 15), 16, 10).cast("decimal(19,0)")).cast("string"), F.lit("0")) for i in range(4)]
+    return F.sha2(F.concat_ws(":", F.count(lines).cast("string"), *words), 256)
+
+
 def json_key_stamps(document: Column) -> Column:
     """Map from each key of a JSON object to the hash of its value's text."""
     return F.transform_values(F.from_json(document, "map<string,string>"), lambda _, v: F.sha2(v, 256))

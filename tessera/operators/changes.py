@@ -89,6 +89,26 @@ def same_ids(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(a, empty))) == F.array_sort(F.array_distinct(F.coalesce(b, empty)))
 
 
+def same_lists(a: Column, b: Column) -> Column:
+    """Equal lists in equal order; NULL equals NULL."""
+    return a.eqNullSafe(b)
+
+
+def lost(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of the old rows that the new ones lack: tasks that leave a group, outputs that nobody makes any more."""
+    return old.join(new, keys, "left_anti").select(*keys)
+
+
+def live_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The number of different keys, as `live`. A key with a NULL in it isn't one."""
+    return rows.agg(F.count_distinct(*keys).alias("live"))
+
+
+def unreported(outputs: DataFrame, reported: DataFrame, keys: list[str]) -> DataFrame:
+    """Declared outputs of tasks that succeeded without saying so: they count as produced."""
+    return outputs.join(reported, keys, "left_anti")
+
+
 def outcome_buckets(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("type").agg(F.count("*").alias("n"))
 

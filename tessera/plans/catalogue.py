@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.pattern import FilePattern, KeyPattern
 from ..operators import changes, deps, graph
-from ..operators.join import Relation, delta_sets, diff_sets, joined_sets
+from ..operators.join import Relation, delta_sets, diff_sets, joined_sets, touched_sets
 from ..sources.relation import changelog_relation, json_keys, key_relation, prefix_stamp, table_relation
+from ..streaming.events import Refresh
 from . import skip
 from .rules import loop_rows, one_task_io
 from .state import upsert
@@ -232,9 +233,9 @@ def join_left_optional(spark, d):
     return joined_sets([_docs(spark, d), _labels(spark, d)], ["docs"])
 
 
-@query("SELECT CAST(c_nationkey AS VARCHAR) AS n, CAST(c_custkey AS VARCHAR) AS c, CAST(o_orderkey AS VARCHAR) AS o FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON o_custkey = c_custkey")
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS n, CAST(c_custkey AS VARCHAR) AS c, CAST(o_orderkey AS VARCHAR) AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 def join_left_fanout(spark, d):
-    o = read(spark, d, "orders").where("o_totalprice > 200000").select(s("o_custkey").alias("c"), s("o_orderkey").alias("o"))
+    o = read(spark, d, "orders").select(s("o_custkey").alias("c"), s("o_orderkey").alias("o"))
     return joined_sets([_customer(spark, d), Relation("orders", o, ("c", "o"))], ["customer"])
 
 
@@ -248,10 +249,10 @@ def join_left_chain_swapped(spark, d):
     return joined_sets([_docs(spark, d), _info(spark), _labels(spark, d)], ["docs"])
 
 
-@query("SELECT CAST(r_regionkey AS VARCHAR) AS r, CAST(n_nationkey AS VARCHAR) AS n FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 3) ON true")
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS r, CAST(n_nationkey AS VARCHAR) AS n FROM region LEFT JOIN nation ON true")
 def join_left_true(spark, d):
-    few = read(spark, d, "nation").where("n_nationkey < 3").select(s("n_nationkey").alias("n"))
-    return joined_sets([_region(spark, d), Relation("few", few, ("n",))], ["region"])
+    n = read(spark, d, "nation").select(s("n_nationkey").alias("n"))
+    return joined_sets([_region(spark, d), Relation("nations", n, ("n",))], ["region"])
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c, count(*) AS n_sets FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN supplier ON s_nationkey = c_nationkey GROUP BY 1")
@@ -267,9 +268,34 @@ def join_delta(spark, d):
     return delta_sets([_customer(spark, d), _nation(spark, d)], {"nation": changed})
 
 
+@query(
+    "WITH q AS (SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(quality AS VARCHAR) AS quality FROM labels) "
+    "SELECT CAST(to_json([CAST(d.doc_id AS VARCHAR), lang, q.quality]) AS VARCHAR) AS set_key, 'removed' AS change, 0 AS phase FROM documents d JOIN q ON q.doc = CAST(d.doc_id AS VARCHAR) "
+    "UNION ALL SELECT CAST(to_json([CAST(d.doc_id AS VARCHAR), lang, NULL]) AS VARCHAR), 'added', 1 FROM documents d JOIN q ON q.doc = CAST(d.doc_id AS VARCHAR)"
+)
+def refresh_retraction(spark, d):
+    """All labels go in one step: each set with one is withdrawn, and the set without one comes back."""
+    gone = _labels(spark, d).df.withColumns({"seq": F.lit(1).cast("long"), "op": F.lit("gone")})
+    return Refresh([_docs(spark, d), _labels(spark, d)], ["docs"]).step({"labels": gone})
+
+
+@query("SELECT CAST(d.doc_id AS VARCHAR) AS doc, lang, CAST(l.quality AS VARCHAR) AS quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1")
+def join_touched_optional(spark, d):
+    """The sets that the changed labels, those of toxic documents, are part of."""
+    changed = read(spark, d, "labels").where("toxic = 1").select(s("doc_id").alias("doc"), s("quality").alias("quality"))
+    return touched_sets([_docs(spark, d), _labels(spark, d)], {"labels": changed}, ["docs"])
+
+
+@query("SELECT CAST(a.doc_id AS VARCHAR) AS doc, q.quality AS quality, count(w.word) AS n FROM documents a LEFT JOIN (SELECT doc_id, CAST(quality AS VARCHAR) AS quality FROM labels) q USING (doc_id) LEFT JOIN (VALUES ('0', 'low'), ('1', 'high'), (NULL, 'none')) w(quality, word) ON w.quality = q.quality GROUP BY ALL")
+def join_left_null_key(spark, d):
+    """A NULL on either side equals nothing."""
+    words = Relation("words", spark.createDataFrame([("0", "low"), ("1", "high"), (None, "none")], "quality string, word string"), ("quality", "word"))
+    return joined_sets([_docs(spark, d), _labels(spark, d), words], ["docs"]).groupBy("doc", "quality").agg(F.count("word").alias("n"))
+
+
 @query("SELECT count(DISTINCT c_nationkey) AS live FROM customer")
 def live_keys(spark, d):
-    return _customer(spark, d).df.agg(F.count_distinct("n").alias("live"))
+    return changes.live_keys(_customer(spark, d).df, ["n"])
 
 
 # ---- dependencies ---------------------------------------------------------------------------------------------------
@@ -338,6 +364,15 @@ def orphan_outputs(spark, d):
     return deps.orphans(found, io_rows(found, io_row(_path("site:", host), "out", 0, "prefix", _path(host, "/en/"))))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS consumer, 'shelf' AS producer FROM documents")
+def deps_no_self(spark, d):
+    """A task that reads what it makes itself doesn't wait for itself."""
+    own = _path("doc:", s("doc_id"))
+    shelf = _path("shelf:", F.col("lang"))
+    rows = (io_row(s("doc_id"), "out", 0, "artifact", own), io_row(s("doc_id"), "in", 0, "artifact", own), io_row(s("doc_id"), "in", 1, "artifact", shelf), io_row(F.lit("shelf"), "out", 0, "prefix", F.lit("shelf:")))
+    return deps.edges(io_rows(read(spark, d, "documents").select("doc_id", "lang"), *rows))
+
+
 @query("SELECT CAST(p.doc_id AS VARCHAR) AS consumer, count(*) AS n FROM documents d JOIN documents p ON p.doc_id > 0 AND d.doc_id = p.doc_id // 2 GROUP BY 1")
 def producer_count(spark, d):
     return deps.edges(_heap_io(spark, d)).groupBy("consumer").agg(F.count("*").alias("n"))
@@ -358,6 +393,15 @@ def digest_stamp(spark, d):
     return read(spark, d, "documents").groupBy("lang").agg(keys.digest(line).alias("stamp"))
 
 
+SET_WORDS = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
+
+
+@query(f"WITH x AS (SELECT lang, source, sha256(doc_id || '=' || sha256(text)) AS h FROM documents) SELECT lang, source, sha256(count(*) || ':' || {SET_WORDS}) AS stamp FROM x GROUP BY ALL")
+def digest_of_bag(spark, d):
+    line = F.concat_ws("=", s("doc_id"), keys.file_stamp(F.col("text").cast("binary")))
+    return read(spark, d, "documents").groupBy("lang", "source").agg(keys.set_digest(line).alias("stamp"))
+
+
 @query(f"WITH k AS (SELECT {URLKEY} AS k, sha256(html) AS e FROM pages) SELECT sha256(coalesce(string_agg(substr(k, 18) || '=' || e, chr(10) ORDER BY substr(k, 18) || '=' || e), '')) AS stamp FROM k WHERE starts_with(k, 'www.example.com/')")
 def object_prefix_stamp(spark, d):
     return prefix_stamp(read(spark, d, "pages").select(urlkey().alias("key"), F.sha2("html", 256).alias("etag")), "www.example.com")
@@ -454,7 +498,8 @@ def first_plus_last_k(spark, d):
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1, 2")
 def last_report(spark, d):
-    return read(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max_by("event_type", "event_id").alias("kind"))
+    events = read(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", F.col("event_type").alias("kind"))
+    return changes.latest(events, ["user_id", "day"], "event_id").drop("event_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -487,7 +532,7 @@ def outputs_diff(spark, d):
 @query(f"WITH {SNAPSHOTS} SELECT source, ref_key FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.source = o.source AND n.ref_key = o.ref_key)")
 def group_drop(spark, d):
     old, new = _snapshots(spark, d)
-    return old.join(new, ["source", "ref_key"], "left_anti").select("source", "ref_key")
+    return changes.lost(old, new, ["source", "ref_key"])
 
 
 @query(f"WITH {SNAPSHOTS} SELECT CAST(to_json([coalesce(o.ref_key, n.ref_key)]) AS VARCHAR) AS set_key, CASE WHEN o.ref_key IS NULL THEN 'added' WHEN n.ref_key IS NULL THEN 'removed' WHEN o.stamp = n.stamp THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.ref_key = n.ref_key")
@@ -506,7 +551,7 @@ def ids_equal(spark, d):
 def list_equal(spark, d):
     ordered = lambda n: F.transform(F.array_sort(F.collect_list(F.struct("ref_key", "stamp"))), lambda x: x["stamp"]).alias(n)
     old, new = (x.groupBy("source").agg(ordered(n)) for x, n in zip(_snapshots(spark, d), "ab", strict=True))
-    return old.join(new, "source").select("source", (F.col("a") == F.col("b")).alias("same"))
+    return old.join(new, "source").select("source", changes.same_lists(F.col("a"), F.col("b")).alias("same"))
 
 
 # ---- graphs, the skip rule, outcomes ---------------------------------------------------------------------------------
@@ -601,6 +646,19 @@ def skip_reasons(spark, d):
     return skip.decide(*_world(spark, d))
 
 
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS task_id, 'ok' AS side, '' AS ref_key, CAST(NULL AS VARCHAR) AS stamp FROM documents "
+    "UNION ALL SELECT doc_id, 'in', 'artifact src:' || doc_id, CASE WHEN doc_id % 29 <> 0 THEN CAST(n_chars AS VARCHAR) END FROM documents WHERE doc_id % 31 <> 0 "
+    "UNION ALL SELECT doc_id, 'in', 'prefix lib:' || lang || '/', CAST(length(lang) AS VARCHAR) FROM documents WHERE doc_id % 31 <> 0 AND doc_id % 3 = 0 AND lang <> 'de' "
+    "UNION ALL SELECT doc_id, 'out', 'artifact out:' || doc_id, CASE WHEN doc_id % 23 <> 0 THEN CAST(n_chars AS VARCHAR) END FROM documents "
+    "UNION ALL SELECT doc_id, 'out', 'prefix out2:' || doc_id || '/', CAST(n_chars AS VARCHAR) FROM documents WHERE doc_id % 8 = 0"
+)
+def record_rows(spark, d):
+    """What is recorded when every task succeeds with the world as it is."""
+    _, io, state, _ = _world(spark, d)
+    return skip.snapshot(io, state)
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS task_id, 'no-store' AS reason, CAST(NULL AS VARCHAR) AS reason_id FROM documents")
 def skip_no_store(spark, d):
     task, io, state, _ = _world(spark, d)
@@ -637,7 +695,7 @@ def auto_produced(spark, d):
     """Even documents report their outputs themselves; the others' follow from success."""
     _, io, _, _ = _world(spark, d)
     reported = read(spark, d, "documents").where("doc_id % 2 = 0").select(s("doc_id").alias("task_id"), _path("out:", s("doc_id")).alias("id"))
-    return io.where("side = 'out' and kind = 'artifact'").select("task_id", "id").join(reported, ["task_id", "id"], "left_anti")
+    return io.where("side = 'out' and kind = 'artifact'").select("task_id", "id").transform(changes.unreported, reported, ["task_id", "id"])
 
 
 @query(
