@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ONE_TASK_EDGES = 2_000_000
 #: Different edges up to which components are found in one task; larger graphs take rounds of joins.
 ONE_TASK_COMPONENTS = 500_000
+#: Rounds in which a larger component is peeled; what is left then is walked in one task, however large, since a graph that deep is a chain.
+PEEL_ROUNDS = 200
 
 
 def checkpoints(spark: SparkSession) -> str:
@@ -103,16 +105,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return cut(out.select("node", F.col("to").alias("comp")))
 
 
-def _settle(nodes: list, edges: list[tuple], failed: set) -> list[tuple]:
+def _settle(nodes: list, edges: list[tuple], failed: set, base: dict | None = None, below_failed: tuple = ()) -> list[tuple]:
     """(node, level, state) of one part of a graph. edges: (consumer, producer).
 
-    Levels count from 0; state is ok, failed (in `failed` and able to run), dependency (below a failed one) or deadlock."""
+    Levels count from 0, or from `base`; state is ok, failed (in `failed` and able to run), dependency (below a failed one, as those
+    in `below_failed` are from the start) or deadlock."""
     below = defaultdict(list)
     waits = dict.fromkeys(nodes, 0)
     for c, p in edges:
         below[p].append(c)
         waits[c] += 1
-    level = dict.fromkeys(nodes, 0)
+    level = dict.fromkeys(nodes, 0) | (base or {})
     ready = deque(n for n in nodes if not waits[n])
     order = []
     while ready:
@@ -124,8 +127,8 @@ def _settle(nodes: list, edges: list[tuple], failed: set) -> list[tuple]:
             if not waits[c]:
                 ready.append(c)
     done = set(order)
-    state: dict = {}
-    spoiled = deque()
+    state: dict = dict.fromkeys(below_failed, "dependency")
+    spoiled = deque(n for n in below_failed if n not in done)
     for n in order:
         # in topological order, so a failed producer is known before its readers
         if state.get(n) != "dependency" and n in failed:
@@ -144,34 +147,85 @@ def _settle(nodes: list, edges: list[tuple], failed: set) -> list[tuple]:
     return [(n, level[n] if n in done else None, state.get(n, "ok" if n in done else "deadlock")) for n in nodes]
 
 
+def _peel(live: DataFrame, e: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Settles nodes that wait for nothing, round by round, until the edges are few or PEEL_ROUNDS are over.
+
+    live: id, fails, base, bad (below a failed one). Returns parts (id, level, state), and the nodes and edges that are left. If only what hangs on
+    cycles is left, failures are spread over it by rounds and no node is."""
+    out: list[DataFrame] = []
+    for _ in range(PEEL_ROUNDS):
+        if is_small(e, ONE_TASK_EDGES):
+            return out, live, e
+        state = F.when(F.col("bad"), "dependency").when(F.col("fails"), "failed").otherwise("ok")
+        ready = cut(live.join(e.select(F.col("consumer").alias("id")).distinct(), "id", "left_anti").select("id", F.col("base").alias("level"), state.alias("state")))
+        if ready.isEmpty():
+            break
+        out.append(ready)
+        if len(out) == 16:  # plans of many parts are slow
+            out = [cut(_all(out))]
+        by = ready.withColumnRenamed("id", "producer")
+        told = e.join(by, "producer").groupBy(F.col("consumer").alias("id")).agg((F.max("level") + 1).alias("l"), F.max(F.col("state") != "ok").alias("b"))
+        live = live.join(ready.select("id"), "id", "left_anti").join(told, "id", "left")
+        live = cut(live.select("id", "fails", F.greatest("base", F.coalesce("l", F.lit(0))).alias("base"), (F.col("bad") | F.coalesce("b", F.lit(False))).alias("bad")))
+        e = cut(e.join(by.select("producer"), "producer", "left_anti"))
+    else:
+        return out, live, e
+    bad = new = cut(live.where("bad").select("id"))
+    while not new.isEmpty():
+        new = cut(e.join(new.withColumnRenamed("id", "producer"), "producer").select(F.col("consumer").alias("id")).distinct().join(bad, "id", "left_anti"))
+        bad = cut(bad.union(new))
+    hit = live.join(bad.withColumn("hit", F.lit(True)), "id", "left")
+    stuck = hit.select("id", F.lit(None).cast("long").alias("level"), F.when(F.col("hit"), "dependency").otherwise("deadlock").alias("state"))
+    return [*out, stuck], live.limit(0), e.limit(0)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id, fails boolean), edges (consumer, producer) to rows (id, level, state).
 
-    One grouped-map call per component; a graph of few edges (counted) goes to one call. Levels and states need
-    no driver loop, however deep the graph is. Self-loops don't count; edges to unknown nodes don't, either."""
+    A graph of few edges (counted) goes to one call, and so does each component of a larger graph, without a
+    driver loop however deep it is. A component that is larger itself is peeled by joins until few edges are left.
+    Self-loops don't count; edges to unknown nodes don't, either."""
     nodes = cut(nodes.select("id", "fails"))
     e = edges.where("consumer <> producer").distinct()
     known = nodes.select(F.col("id").alias("producer"))
     e = e.join(known, "producer", "left_semi").join(known.withColumnRenamed("producer", "consumer"), "consumer", "left_semi")
     e = cut(e)
     kind = nodes.schema["id"].dataType.simpleString()
+    start = (F.lit(0).cast("long").alias("base"), F.lit(False).alias("bad"))
+    peeled: list[DataFrame] = []
     if is_small(e, ONE_TASK_EDGES):
         on_edge = e.select(F.col("consumer").alias("id")).union(e.select("producer")).distinct()
         group = on_edge.withColumn("part", F.lit("all"))
+        own = nodes.join(group, "id").select("part", "id", "fails", *start)
         e = e.withColumn("part", F.lit("all"))
     else:
         comp = components(e.select(F.col("consumer").alias("a"), F.col("producer").alias("b")))
         group = comp.select(F.col("node").alias("id"), F.col("comp").cast("string").alias("part"))
-        e = e.join(comp.select(F.col("node").alias("consumer"), F.col("comp").cast("string").alias("part")), "consumer")
-    n = nodes.join(group, "id").select("part", "id", F.lit(None).cast(kind).alias("producer"), "fails")
-    rows = n.unionByName(e.select("part", F.col("consumer").alias("id"), "producer", F.lit(False).alias("fails")))
+        own = nodes.join(group, "id").select("part", "id", "fails", *start)
+        e = cut(e.join(comp.select(F.col("node").alias("consumer"), F.col("comp").cast("string").alias("part")), "consumer"))
+        # at most one in ONE_TASK_EDGES edges
+        large = cut(e.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > ONE_TASK_EDGES).select("part"))
+        if not large.isEmpty():
+            peeled, rest, left = _peel(cut(own.join(large, "part", "left_semi").drop("part")), cut(e.join(large, "part", "left_semi").select("consumer", "producer")))
+            own = own.join(large, "part", "left_anti").unionByName(rest.withColumn("part", F.lit("peeled ")))
+            e = e.join(large, "part", "left_anti").select("part", "consumer", "producer").unionByName(left.withColumn("part", F.lit("peeled ")).select("part", "consumer", "producer"))
+    n = own.select("part", "id", F.lit(None).cast(kind).alias("producer"), "fails", "base", "bad")
+    rows = n.unionByName(e.select("part", F.col("consumer").alias("id"), "producer", F.lit(False).alias("fails"), *start))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["producer"].isna()]
         links = pdf[~pdf["producer"].isna()]
         ids = own["id"].tolist()
         producers = links["producer"].astype(own["id"].dtype).tolist()
-        got = _settle(ids, list(zip(links["id"].tolist(), producers, strict=True)), set(own.loc[own["fails"].astype(bool), "id"].tolist()))
+        failed, bad = (set(own.loc[own[c].astype(bool), "id"].tolist()) for c in ("fails", "bad"))
+        got = _settle(ids, list(zip(links["id"].tolist(), producers, strict=True)), failed, dict(zip(ids, own["base"].tolist(), strict=True)), tuple(bad))
         out = pd.DataFrame(got, columns=["id", "level", "state"])
         out["level"] = out["level"].astype("Int64")
         return out
@@ -179,4 +233,4 @@ def settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     linked = rows.groupBy("part").applyInPandas(run, f"id {kind}, level long, state string")
     # tasks without edges need no call
     alone = nodes.join(group.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long").alias("level"), F.when(F.col("fails"), "failed").otherwise("ok").alias("state"))
-    return linked.unionByName(alone)
+    return _all([linked, *peeled, alone])

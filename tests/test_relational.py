@@ -190,9 +190,10 @@ def states(nodes, edges, fails):
     return {n: state.get(n, "deadlock") for n in nodes}
 
 
-@pytest.mark.parametrize("limit", [graph.ONE_TASK_EDGES, 0])
-def test_settle_random(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "rounds"), [(graph.ONE_TASK_EDGES, 0), (0, 200), (4, 200), (0, 1)])
+def test_settle_random(spark, monkeypatch, limit, rounds):
     monkeypatch.setattr(graph, "ONE_TASK_EDGES", limit)
+    monkeypatch.setattr(graph, "PEEL_ROUNDS", rounds)
     rng = random.Random(4)
     for size, links in ((12, 14), (40, 50)) if limit else ((12, 14),):
         nodes = list(range(size))
@@ -202,6 +203,21 @@ def test_settle_random(spark, monkeypatch, limit):
         assert {r.id: r.state for r in got} == states(nodes, edges, fails)
 
 
+@pytest.mark.parametrize(("limit", "rounds"), [(10, 200), (10, 2), (0, 200)])
+def test_peeled_levels(spark, monkeypatch, limit, rounds):
+    """A large component, with a cycle in the second graph, gets the levels and states of one walk."""
+    rng = random.Random(limit + rounds)
+    for ring in ([], [(30, 31), (31, 32), (32, 30), (33, 32), (30, 5)]):
+        nodes = list(range(36))
+        edges = sorted({(c, rng.randrange(c)) for c in range(1, 30) for _ in range(2)} | set(ring))
+        fails = {7, 11}
+        want = {n: (level, state) for n, level, state in graph._settle(nodes, edges, fails)}
+        monkeypatch.setattr(graph, "ONE_TASK_EDGES", limit)
+        monkeypatch.setattr(graph, "PEEL_ROUNDS", rounds)
+        got = graph.settle(spark.createDataFrame([(n, n in fails) for n in nodes], "id long, fails boolean"), spark.createDataFrame(edges, "consumer long, producer long")).collect()
+        assert {r.id: (r.level, r.state) for r in got} == want and len(got) == 36
+
+
 def test_settle_deep_chain(spark):
     n = spark.range(32_000).select("id", F.lit(False).alias("fails"))
     e = spark.range(1, 32_000).select(F.col("id").alias("consumer"), (F.col("id") - 1).alias("producer"))
