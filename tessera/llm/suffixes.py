@@ -22,6 +22,7 @@ empty table gives no rows. Matches never cross documents.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -39,6 +40,10 @@ HOT = 2_000
 PARTS_OF_HOT = 4
 #: Windows that a task sorts at once.
 BLOCK = 150_000
+#: Windows of a text whose anchors are sought at once.
+SLICE = 1 << 18
+#: Stretches that are held, and rows that are sent, at once: a worker's memory doesn't grow with the texts of a batch.
+HELD = 20_000
 #: Greatest number of bits of a Bloom filter: 64 MB.
 MOST_BITS = 1 << 29
 
@@ -60,8 +65,8 @@ def words_of(data: bytes) -> np.ndarray:
     return np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
 
 
-def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor's place, anchor's hash) of each stretch; data has LENGTH bytes at least."""
+def _places(data: bytes) -> np.ndarray:
+    """The anchor's place of each window."""
     x = _TABLE[np.frombuffer(data, np.uint8)]
     p, n = np.uint32(0x9E3779B1), 1
     while n < GRAM:
@@ -76,10 +81,22 @@ def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         n *= 2
     if n < width:
         key = np.minimum(key[: len(key) - (width - n)], key[width - n :])
-    place = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    count = np.diff(np.r_[first, len(place)])
-    place = place[first]
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, anchor's place, anchor's hash) of each stretch; data has LENGTH bytes at least."""
+    windows = len(data) - LENGTH + 1
+    firsts, places = [], []
+    for at in range(0, windows, SLICE):
+        place = _places(data[at : at + SLICE + LENGTH - 1])
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        firsts.append(first + at)
+        places.append(place[first] + at)
+    first, place = np.concatenate(firsts), np.concatenate(places)
+    new = np.r_[True, place[1:] != place[:-1]]  # a stretch may go on in the next slice
+    first, place = first[new], place[new]
+    count = np.diff(np.r_[first, windows])
     w = words_of(data)
     h = np.zeros(len(place), np.uint64)
     for k in range(0, GRAM, 8):
@@ -138,59 +155,76 @@ def _send(docs: DataFrame, repeated, hot) -> DataFrame:
         want, many = repeated.value, hot.value
         sent: dict[bytes, int] = {}
 
-        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-            copies: dict[bytes, list] = {}
-            for t in batch.column("text").to_pylist():
-                data = (t or "").encode("utf-8", "replace")
-                if len(data) < LENGTH:
-                    continue
-                first, count, place, h = stretches(data)
-                hits = np.flatnonzero(in_bloom(want, h))
-                if not len(hits):
-                    continue
-                key = _key(data)
-                often = in_bloom(many, h[hits]) if many is not None else np.zeros(len(hits), bool)
-                own: dict[bytes, list] = {}
-                for a, n, q, g, split in zip(first[hits].tolist(), count[hits].tolist(), place[hits].tolist(), h[hits].view(np.int64).tolist(), often.tolist(), strict=True):
-                    parts = [(a, n, g)]
-                    if split:
-                        # quarters by the distance to the anchor; all windows of a quarter hold its core
-                        width = -(-(LENGTH - GRAM + 1) // PARTS_OF_HOT)
-                        parts = []
-                        for k in range(PARTS_OF_HOT):
-                            lo, hi = max(a, q - (k + 1) * width + 1), min(a + n - 1, q - k * width)
-                            if lo <= hi:
-                                core = data[q - k * width : q - (k + 1) * width + 1 + LENGTH]
-                                parts.append((lo, hi - lo + 1, int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True) ^ k))
-                    for a2, n2, g2 in parts:
-                        piece = data[a2 : a2 + n2 - 1 + LENGTH]
-                        mark = hashlib.blake2b(piece, digest_size=16).digest()
-                        if mark in own:
-                            own[mark][2].append(a2)
-                        else:
-                            own[mark] = [g2, n2, [a2], piece]
-                for mark, (g2, n2, starts, piece) in own.items():
-                    if mark in copies:
-                        copies[mark][1] += len(starts)
-                    else:
-                        copies[mark] = [g2, len(starts), n2, piece]
-                    yield g2, mark, None, n2, None, key, starts
-            for mark, (g2, c, n2, piece) in copies.items():
+        def parts_of(data: bytes) -> Iterator[tuple[int, int, int]]:
+            first, count, place, h = stretches(data)
+            hits = np.flatnonzero(in_bloom(want, h))
+            for i in range(0, len(hits), HELD):
+                some = hits[i : i + HELD]
+                often = in_bloom(many, h[some]) if many is not None else np.zeros(len(some), bool)
+                for a, n, q, g, split in zip(first[some].tolist(), count[some].tolist(), place[some].tolist(), h[some].view(np.int64).tolist(), often.tolist(), strict=True):
+                    if not split:
+                        yield a, n, g
+                        continue
+                    # quarters by the distance to the anchor; all windows of a quarter hold its core
+                    width = -(-(LENGTH - GRAM + 1) // PARTS_OF_HOT)
+                    for k in range(PARTS_OF_HOT):
+                        lo, hi = max(a, q - (k + 1) * width + 1), min(a + n - 1, q - k * width)
+                        if lo <= hi:
+                            core = data[q - k * width : q - (k + 1) * width + 1 + LENGTH]
+                            yield lo, hi - lo + 1, int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True) ^ k
+
+        def with_bytes(copies: dict[bytes, list]) -> Iterator[tuple]:
+            for mark, (g, c, n, piece) in copies.items():
                 # sent once with its bytes; a second row, without them, only says that there are more
                 again = sent.get(mark, 0)
                 if again < 2:
                     sent[mark] = again + 1
                     if len(sent) > 300_000:
                         sent.clear()
-                    yield g2, mark, c, n2, None if again else piece, None, None
-
-        with np.errstate(over="ignore"):
+                    yield g, mark, c, n, None if again else piece, None, None
+            copies.clear()
+
+        def where(own: dict[bytes, list], key: bytes, copies: dict[bytes, list]) -> Iterator[tuple]:
+            for mark, (g, n, starts, piece) in own.items():
+                if mark in copies:
+                    copies[mark][1] += len(starts)
+                else:
+                    copies[mark] = [g, len(starts), n, piece]
+                yield g, mark, None, n, None, key, starts
+            own.clear()
+            if len(copies) >= HELD:
+                yield from with_bytes(copies)
+
+        def rows() -> Iterator[tuple]:
+            copies: dict[bytes, list] = {}
             for batch in batches:
-                rows = list(rows_of(batch))
-                if rows:
-                    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["grp", "stretch", "copies", "n", "data", "key", "starts"])
+                for t in batch.column("text"):
+                    data = (t.as_py() or "").encode("utf-8", "replace")
+                    if len(data) < LENGTH:
+                        continue
+                    key = None
+                    own: dict[bytes, list] = {}
+                    held = 0
+                    for a, n, g in parts_of(data):
+                        key = key or _key(data)
+                        piece = data[a : a + n - 1 + LENGTH]
+                        mark = hashlib.blake2b(piece, digest_size=16).digest()
+                        if mark in own:
+                            own[mark][2].append(a)
+                        else:
+                            own[mark] = [g, n, [a], piece]
+                        held += 1
+                        if held >= HELD:
+                            yield from where(own, key, copies)
+                            held = 0
+                    yield from where(own, key, copies)
+                yield from with_bytes(copies)
+
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
+        with np.errstate(over="ignore"):
+            for some in itertools.batched(rows(), HELD):
+                cols = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["grp", "stretch", "copies", "n", "data", "key", "starts"])
 
     return docs.select("text").mapInArrow(run, PLACES)
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -570,6 +571,45 @@ def test_suffixes_hot(spark, rows, monkeypatch):
     assert collect(suffixes.suffix_dedup(table(spark, own))) == brute_suffixes(own)
 
 
+def test_suffixes_slices(spark, rows, monkeypatch):
+    """Texts are read in slices and sent in parts: stretches go on over the cuts, and no place is lost."""
+    data = [d for _, t, _ in rows if len(d := (t or "").encode()) >= suffixes.LENGTH]
+    with np.errstate(over="ignore"):
+        whole = [suffixes.stretches(d) for d in data]
+        monkeypatch.setattr(suffixes, "SLICE", 150)
+        monkeypatch.setattr(suffixes, "HELD", 3)
+        again = [suffixes.stretches(d) for d in data]
+    assert whole and all(np.array_equal(x, y) for a, b in zip(whole, again, strict=True) for x, y in zip(a, b, strict=True))
+    passage = rows[3][1][:260]
+    own = rows[:40] + [(1000 + i, f"{i * 7919} {passage} mid {i * 104729} {passage * 3} end {i}", "en") for i in range(20)]
+    assert collect(suffixes.suffix_dedup(table(spark, own))) == brute_suffixes(own)
+
+
+def test_suffixes_memory_of_long_texts():
+    """What a worker holds and sends at once doesn't grow with the texts of a batch."""
+    import random
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghij ", k=60_000)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    docs = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    every = SimpleNamespace(value=np.full(1024, ~np.uint64(0)))  # a filter that lets all anchors through
+    windows, most = Counter(), 0
+    tracemalloc.start()
+    for out in suffixes._send(docs, every, SimpleNamespace(value=None))(iter([batch])):
+        most = max(most, out.num_rows)
+        for key, n, starts in zip(*(out.column(c).to_pylist() for c in ("key", "n", "starts")), strict=True):
+            if key is not None:
+                windows[key] += n * len(starts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == {suffixes._key(t.encode()): len(t) - suffixes.LENGTH + 1 for t in texts}
+    assert most <= 20_000
+    assert peak < 40e6, peak
+
+
 def brute_jaccard(rows, n, sim):
     sets = {}
     for i, t, _ in rows:
