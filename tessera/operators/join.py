@@ -91,8 +91,10 @@ def joined_sets(relations: list[Relation], required: list[str] | None = None) ->
 
 
 def left_step(left: DataFrame, r: Relation, bound: list[str]) -> DataFrame:
-    side = r.side().drop(f"{r.name}_found")
-    shared = [v for v in r.vars if v in bound]
+    return _left(left, r.side().drop(f"{r.name}_found"), [v for v in r.vars if v in bound])
+
+
+def _left(left: DataFrame, side: DataFrame, shared: list[str]) -> DataFrame:
     renamed = side.select(*(F.col(v).alias(f"__{v}") if v in shared else F.col(v) for v in side.columns))
     on: Column = F.lit(True)
     for v in shared:
@@ -100,6 +102,46 @@ def left_step(left: DataFrame, r: Relation, bound: list[str]) -> DataFrame:
     return left.join(renamed, on, "left").drop(*(f"__{v}" for v in shared))
 
 
+SETS, ROWS = "sets#", "rows#"  # columns of numbers, beside any variables
+
+
+def set_counts(relations: list[Relation], by: list[str], required: list[str] | None = None) -> DataFrame:
+    """`n_sets`: how many joined sets have these values of the variables `by`, without deriving the sets.
+
+    The same as joined_sets(relations, required).groupBy(*by).count(), but a variable is dropped as soon as neither `by` nor a later join
+    needs it, and rows that then agree are added up. So independent relations multiply numbers, not rows: a required one multiplies by its
+    number of matches, an optional one by that or 1. In ANSI mode, Spark's default, 2^63 sets of one group are an error."""
+    must, may = _split(relations, required)
+    if any(v not in union_vars(relations) for v in by):
+        raise RuleError(f"sets are counted by some of {union_vars(relations)}, not by {by}")
+    order = join_order(must) + may
+    out, bound = None, []
+    for i, r in enumerate(order):
+        later = {*by, *union_vars(order[i + 1 :])}
+        side = _folded(r.side().select(*r.vars, F.lit(1).cast("long").alias(ROWS)), [v for v in r.vars if v in bound or v in later], ROWS)
+        if out is None:
+            out = side.withColumnRenamed(ROWS, SETS)
+        else:
+            shared = [v for v in r.vars if v in bound]
+            if r in may:
+                out = _left(out, side, shared)
+            else:
+                out = out.join(side, shared, "inner") if shared else out.crossJoin(side)
+            out = out.withColumn(SETS, F.col(SETS) * F.coalesce(ROWS, F.lit(1))).drop(ROWS)
+        bound = [v for v in dict.fromkeys((*bound, *r.vars)) if v in later]
+        if i < len(order) - 1:
+            out = _folded(out, bound, SETS)
+    assert out is not None
+    return out.groupBy(*by).agg(F.coalesce(F.sum(SETS), F.lit(0)).alias("n_sets"))
+
+
+def _folded(df: DataFrame, names: list[str], number: str) -> DataFrame:
+    """One row per value of these columns, with the sum of the number; as it is if they are all columns but the number."""
+    if names and {*df.columns} == {*names, number}:
+        return df
+    return df.groupBy(*names).agg(F.sum(number).alias(number)).where(F.col(number) > 0)
+
+
 def product(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.pattern import FilePattern, KeyPattern
 from ..operators import changes, deps, graph
-from ..operators.join import Relation, delta_sets, diff_sets, joined_sets, touched_sets
+from ..operators.join import Relation, delta_sets, diff_sets, joined_sets, set_counts, touched_sets
 from ..sources.relation import changelog_relation, json_keys, key_relation, prefix_stamp, table_relation
 from ..streaming.events import Refresh
 from . import skip
@@ -259,7 +259,7 @@ def join_left_true(spark, d):
 def join_left_product(spark, d):
     o = Relation("orders", read(spark, d, "orders").select(s("o_custkey").alias("c"), s("o_orderkey").alias("o")), ("c", "o"))
     p = Relation("supplier", read(spark, d, "supplier").select(s("s_nationkey").alias("n"), s("s_suppkey").alias("p")), ("n", "p"))
-    return joined_sets([_customer(spark, d), o, p], ["customer"]).groupBy("c").agg(F.count("*").alias("n_sets"))
+    return set_counts([_customer(spark, d), o, p], ["c"], ["customer"])
 
 
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS n, CAST(c_custkey AS VARCHAR) AS c, CAST(n_regionkey AS VARCHAR) AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey % 5 = 0")

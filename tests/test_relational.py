@@ -1,13 +1,14 @@
 """Joins, deltas, dependencies, graphs, the skip rule and changelogs against plain loops."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import changes, deps, graph
-from tessera.operators.join import Relation, RuleError, delta_sets, diff_sets, joined_sets, touched_sets, union_vars
-from tessera.plans import skip
+from tessera.operators.join import Relation, RuleError, delta_sets, diff_sets, joined_sets, set_counts, touched_sets, union_vars
+from tessera.plans import catalogue, skip
 from tessera.plans.rules import SendLimitError, loop_rows, one_task_io, task_id_clashes
 from tessera.plans.state import MemoryStore, SnapshotStore, StoreError, upsert
 
@@ -84,6 +85,43 @@ def test_joins_random(spark):
         assert run(spark, relations, required) == brute(relations, required), (relations, required)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_set_counts_random(spark, seed):
+    """What grouping the derived sets counts; rows may repeat and have NULLs, relations may be empty or have no variables."""
+    rng = random.Random(seed)
+    for _ in range(4):
+        relations = []
+        for i in range(rng.randint(1, 4)):
+            vars = tuple(rng.sample("abcd", rng.choice([0, 1, 2, 2, 3])))
+            relations.append(rel(spark, f"r{i}", vars, [tuple(rng.choice(["x", "y", None]) for _ in vars) for _ in range(rng.choice([0, 2, 3, 5]))]))
+        required = rng.choice([None, ["r0"], [relations[-1].name]])
+        names = union_vars(relations)
+        by = rng.sample(names, rng.randint(0, min(2, len(names))))
+        got = set_counts(relations, by, required)
+        want = joined_sets(relations, required).groupBy(*by).agg(F.count("*").alias("n_sets"))
+        assert got.schema == want.schema
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr), ([(r.name, r.vars, r.df.collect()) for r in relations], required, by)
+    with pytest.raises(RuleError):
+        set_counts(relations, ["nope"])
+
+
+def test_sets_are_counted_underived(spark, tmp_path):
+    """The query over 10^12 sets of one customer and 10^6 of another: they can't be derived within the minute after which its jobs are stopped."""
+    n = 1_000_000
+    spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(n).selectExpr("id AS o_orderkey", "1L AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(n).selectExpr("id AS s_suppkey", "7 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sparkContext.setJobGroup("underived", "set counts", True)
+    stop = threading.Timer(60, lambda: spark.sparkContext.cancelJobGroup("underived"))
+    stop.start()
+    try:
+        got = catalogue.QUERIES["join_left_product"](spark, str(tmp_path)).collect()
+    finally:
+        stop.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.c: r.n_sets for r in got} == {"1": n * n, "2": n, "3": 1}
+
+
 def test_delta_equals_recompute(spark):
     rng = random.Random(2)
     before = [("page", ("l", "s"), [(a, b) for a in "xyz" for b in "12"]), ("tpl", ("l",), [("x",), ("y",)]), ("rev", ("s", "by"), [("1", "ann")])]
